@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import decontamination, language, mixing, pii, quality, simhash, tokens, topk
 from .common import fold, table
+from .repeats import remove_repeats
+from .substrings import Words
+from .suffixes import Bytes
 
 TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -66,7 +69,17 @@ def op8_topk_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cube_mix, op2_token_counts, op3_quality_scores, op4_pii_spans, op5_language_id, op6_simhash_components, op7_decontaminate, op8_topk_pivots)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), Words(20), with_text=False)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), "n_removed", "kept_sha256")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), Bytes(100), with_text=False)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cube_mix, op2_token_counts, op3_quality_scores, op4_pii_spans, op5_language_id, op6_simhash_components, op7_decontaminate, op8_topk_pivots, op9_substring_dedup, op10_suffix_dedup)}
 
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -95,5 +108,15 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e
       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+""",
+    "op9_substring_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),
+gone AS (SELECT doc_id, list(DISTINCT pos) AS g, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 20)) AS pos FROM later) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d)
+         ANTI JOIN (SELECT doc_id, unnest(g) AS pos FROM gone) USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
 }
