@@ -84,3 +84,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     dirty = counted.where(F.size("__hits") > 0).join(items, "__row").select(*kept, "__n_hit", "__items")
     out = clean.unionByName(dirty)
     return out.select(F.col("__id").alias(id_col), *(F.col(f"__keep_{c}").alias(c) for c in keep), F.col("__n").cast("long").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.col("__items").alias("items"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = 10) -> DataFrame:
+    """The rows of docs, all columns, without any window of a benchmark item; null texts stay.
+
+    With up to SET windows rows are judged where they are; else texts with hits are found by a join and left out by it.
+    """
+    test = written(windows(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col, length), "windows")
+    sizes = sorted(r[0] for r in test.select("size").distinct().collect())
+    if not sizes:
+        return docs
+    if test.select("gram").distinct().limit(SET + 1).count() > SET:
+        keyed = docs.withColumn("__key", F.xxhash64(text_col))
+        hit = contaminated(keyed, benchmark, "__key", text_col, item_col, item_text_col, length).where("n_hit > 0").select(F.col("__key").alias("__hit")).distinct()
+        return keyed.join(hit, F.col("__key") == F.col("__hit"), "left_anti").drop("__key")
+    grams = {size: [r[0] for r in test.where(F.col("size") == size).select("gram").distinct().collect()] for size in sizes}
+    seeds = [r[0] for r in test.select("seed").distinct().collect()]
+
+    def hit_in(words: Column) -> Column:
+        def of(size: int) -> Column:
+            return F.exists(_starts(F.size(words), size), lambda i: _gram(words, i, size).isin(grams[size]))
+
+        return F.exists(words, lambda w: w.isin(seeds)) & reduce(lambda a, b: a | b, map(of, sizes))
+
+    # the words are bound once, as the one element of an array
+    return docs.where(~F.exists(F.array(words_of(F.col(text_col))), hit_in))

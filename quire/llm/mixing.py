@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WORD, written
 
@@ -128,3 +129,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         out = out.unionByName(more)
     copies = (F.col("__whole") + F.round("__p")).cast("long")
     return out.select("id", "source", F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
+    """The rows of docs, all columns, with size, source_size, target, copies and taken; columns of those names are replaced.
+
+    A row's draw depends on its id, source and words alone, so equal rows have equal copies in sum but may differ; they are
+    joined in order of a number that is dealt within equal (id, source, size).
+    """
+    drop = [x for x in ("copies", "taken", "target", "size", "source_size") if x in docs.columns]
+    plain = docs.drop(*drop)
+    found = mix(plain, id_col, text_col, source_col, weights, cap)
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*by))
+    dealt = found.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "source_size", "target", "copies", "taken").withColumn("__nth", nth("__id", "__source", "__size"))
+    own = plain.withColumn("__words", word_count(F.col(text_col))).withColumn("__own", nth(id_col, source_col, "__words"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")) & (F.col("__own") == F.col("__nth"))
+    return own.join(dealt, same).drop("__id", "__source", "__size", "__nth", "__own").withColumnRenamed("__words", "size")
