@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from .common import written
 from .graph import components
 from .repeats import _packed, _unpacked
-from .simhash import _Counter, _planes, fingerprint_of, shingle_hashes
-from .simhash import _unpacked as _bits
+from .simhash import CHUNK, SMALL, fingerprint_of, near_ahead, near_each, shingle_hashes
 
 #: Bands of so many least values; a pair that resembles 0.8 shares a band with probability 0.9998.
 BANDS, LEAST = 16, 4
 #: Fingerprints of texts that resemble 0.8 differ in 10 bits or so; more than this is as good as never.
-RADIUS = 24
+RADIUS = 20
+#: Rows of a bucket in one task; larger ones go to pairs of blocks of about that size.
+LARGE = 1 << 16
 _RNG = np.random.Generator(np.random.PCG64(7))
 _TIMES, _PLUS = (_RNG.integers(1, 2**63, BANDS * LEAST, np.uint64) | np.uint64(1)), _RNG.integers(1, 2**63, BANDS * LEAST, np.uint64)
 
@@ -50,37 +51,93 @@ def _described(words: int):
     return described
 
 
-def near_rows(x: np.ndarray, y: np.ndarray, radius: int, block: int = 16) -> np.ndarray:
-    """Whether x[i] and y[i] differ in `radius` bits at most, for all rows at once by bit planes."""
-    a, b = _planes(x), _planes(y)
-    pad = -a.shape[1] % block
-    a, b = (np.pad(v, ((0, 0), (0, pad))).reshape(64, -1, block) for v in (a, b))
-    alive, count = np.arange(a.shape[1]), _Counter((a.shape[1], block), radius)
-    for plane in range(64):
-        count.add(a[plane, alive] ^ b[plane, alive])
-        if plane % 8 == 7 and plane > radius:
-            on = (~count.exceeded()).any(1)
-            if not on.all():
-                alive = alive[on]
-                count.keep(on)
-            if not len(alive):
-                break
-    near = np.zeros(a.shape[1:], np.uint64)
-    if len(alive):
-        near[alive] = ~count.exceeded()
-    return _bits(near.ravel())[: len(x)].astype(bool)
-
-
-def _near(radius: int):
+def _leaders(node: np.ndarray, fp: np.ndarray, radius: int, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, leader): each row that is near an earlier leader with the nearest one; the others lead."""
+    lead = np.zeros(0, np.int64)
+    for begin in range(0, len(fp), step):
+        rows = np.arange(begin, min(begin + step, len(fp)))
+        best = np.full(len(rows), -1, np.int64)
+        for q, at in near_each(fp[rows], fp[lead], radius) if len(lead) else ():
+            order = np.lexsort((at, np.bitwise_count(fp[rows[q]] ^ fp[lead[at]]), q))
+            first = order[np.r_[True, q[order][1:] != q[order][:-1]]] if len(order) else order
+            best[q[first]] = lead[at[first]]
+        open_ = rows[best < 0]
+        new: list[int] = []
+        for row in open_.tolist():  # few: what is near no leader so far
+            far = np.bitwise_count(fp[new] ^ fp[row]) if new else np.zeros(0)
+            if len(far) and far.min() <= radius:
+                best[row - begin] = new[int(far.argmin())]
+            else:
+                new.append(row)
+        lead = np.concatenate([lead, np.array(new, np.int64)])
+        hit = best >= 0
+        yield rows[hit], best[hit]
+
+
+def _bucket_pairs(node: np.ndarray, fp: np.ndarray, side: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes to look at: in small buckets all that are near, in large ones each with its nearest leader."""
+    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[cuts, len(fp)])
+    small = (sizes <= SMALL) & (side[cuts] == 0)
+    at = np.flatnonzero(np.repeat(small, sizes))
+    a, b = near_ahead(fp[at], group[at], RADIUS)
+    yield node[at[a]], node[at[b]]
+    for cut, size in zip(cuts[~small].tolist(), sizes[~small].tolist(), strict=True):
+        rows = slice(cut, cut + size)
+        if side[cut] == 0:
+            for a, b in _leaders(node[rows], fp[rows], RADIUS):
+                yield node[rows][a], node[rows][b]
+            continue
+        one, two = cut + np.flatnonzero(side[rows] == 1), cut + np.flatnonzero(side[rows] == 2)
+        mine = np.setdiff1d(np.arange(len(one)), np.concatenate([r for r, _ in _leaders(node[one], fp[one], RADIUS)] or [np.zeros(0, int)]))
+        for q, k in near_each(fp[two], fp[one[mine]], RADIUS) if len(two) and len(mine) else ():
+            order = np.lexsort((np.bitwise_count(fp[two[q]] ^ fp[one[mine[k]]]), q))
+            first = order[np.r_[True, q[order][1:] != q[order][:-1]]] if len(order) else order
+            yield node[two[q[first]]], node[one[mine[k[first]]]]
+
+
+def _candidates():
+    """mapInArrow over (band, bucket, side, node, fp) sorted by the first four: pairs (node, leader) to look at."""
+    schema = pa.schema([("node", pa.int64()), ("leader", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def made(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            group = np.cumsum(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(0)])
+            for a, b in _bucket_pairs(rows[3], rows[4].view(np.uint64), rows[2], group):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=schema)
+
         for batch in batches:
-            x, y = (batch.column(k).to_numpy().view(np.uint64) for k in (2, 3))
-            if len(x):
-                yield batch.filter(pa.array(near_rows(x, y, radius))).select([0, 1])
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            if sum(h.shape[1] for h in held) >= CHUNK:
+                rows = np.concatenate(held, 1)
+                last = int(np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(0)])[-1])  # that bucket may go on
+                if last:
+                    yield from made(np.ascontiguousarray(rows[:, :last]))
+                held = [rows[:, last:].copy()]
+        if held and sum(h.shape[1] for h in held):
+            yield from made(np.concatenate(held, 1))
 
     return run
 
 
+def _met(keyed: DataFrame) -> DataFrame:
+    """Pairs of nodes whose fingerprints are near, from the buckets with more than one; very large ones as pairs of blocks."""
+    sized = keyed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = keyed.join(sized, ["band", "bucket"])
+    parts = F.ceil(F.col("n") / LARGE).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(parts == 1, 0).when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    place = F.when(parts == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", low, high))
+    dealt = dealt.select(F.col("band").cast("long").alias("band"), place.alias("bucket"), side.cast("long").alias("side"), "node", "fp")
+    ordered = dealt.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "side", "node")
+    return ordered.mapInArrow(_candidates(), "node long, leader long").distinct()
+
+
 def _resemblance():
     @F.arrow_udf("double")
     def resemblance(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -104,32 +161,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group's one document; times: how many equal rows have the key.
 
     Documents of the same words are copies; of the others, those go together that share `similarity` of their shingles (as
-    sets, A-Z in lower case), directly or over others. Texts without words (null, empty) are copies of each other. Each
-    bucket is compared with its least member; what resembles none of its leaders goes on without them, until nothing is left:
-    the work grows with the number of texts, not with the square of a group. Null ids come last.
+    sets, A-Z in lower case), directly or over others. Texts without words (null, empty) are copies of each other. Texts meet
+    in buckets of equal bands of least hashes, where their fingerprints are compared: in buckets of up to SMALL all pairs that
+    are near are looked at, in larger ones each text with its nearest leader (a text near no leader before it), so that the
+    pairs grow with the number of texts and not with the square of a group. Null ids come last.
     """
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), _described(words)(F.col(text_col)).alias("d")).select("key", "id", "d.*")
     rows = written(rows, "described")
     classes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("fp", "bands")).alias("d")).select("node", "least", "d.*")
     keyed = written(classes.select("node", "fp", F.posexplode("bands").alias("band", "bucket")), "bands")
     sketches = rows.select("node", "sketch")
-    edges: list[DataFrame] = []
-    while True:
-        leaders = keyed.groupBy("band", "bucket").agg(F.min(F.struct("node", "fp")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket", F.col("l.node").alias("leader"), F.col("l.fp").alias("leader_fp"))
-        met = written(keyed.join(leaders, ["band", "bucket"]).where("node <> leader"), "met")
-        pairs = written(met.select("node", "leader", "fp", "leader_fp").mapInArrow(_near(RADIUS), "node long, leader long").distinct(), "pairs")
-        mine = pairs.select("node").union(pairs.select(F.col("leader").alias("node"))).distinct()
-        needed = sketches.join(mine, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
-        sides = pairs.join(needed, "node").withColumnRenamed("sketch", "a").join(needed.select(F.col("node").alias("leader"), F.col("sketch").alias("b")), "leader")
-        alike = written(sides.where(_resemblance()(F.col("a"), F.col("b")) >= similarity).select("node", "leader"), "alike")
-        edges.append(alike)
-        keyed = written(met.join(alike.select("node").distinct(), "node", "left_anti").select("node", "fp", "band", "bucket"), "bands")
-        if keyed.isEmpty():
-            break
-    linked = edges[0]
-    for more in edges[1:]:
-        linked = linked.unionByName(more)
-    roots = components(linked.select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")))
+    pairs = written(_met(keyed), "pairs")
+    mine = pairs.select("node").union(pairs.select(F.col("leader").alias("node"))).distinct()
+    needed = sketches.join(mine, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    sides = pairs.join(needed, "node").withColumnRenamed("sketch", "a").join(needed.select(F.col("node").alias("leader"), F.col("sketch").alias("b")), "leader")
+    alike = sides.where(_resemblance()(F.col("a"), F.col("b")) >= similarity)
+    roots = components(alike.select(F.col("node").alias("u"), F.col("leader").alias("v")))
     placed = classes.select("node", "least").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = placed.join(placed.groupBy("root").agg(F.min("least").alias("group_id")), "root").select("node", "root", "group_id")
     found = rows.groupBy("key", "id", "node").agg(F.count(F.lit(1)).alias("times")).join(groups, "node")
