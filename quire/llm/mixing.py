@@ -14,6 +14,8 @@ from .common import WORD, written
 
 #: Documents of a source that one flight takes, and flights whose rests the next one takes together.
 FLIGHT, REST = 4096, 1000
+#: Documents of a source, of all sizes, that the last flight leaves to the landing, where all their choices are weighed.
+LANDING = 14
 
 
 def targets(sizes: dict, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, total: float | None = None) -> dict:
@@ -66,13 +68,14 @@ def flight(p: np.ndarray, size: np.ndarray, coin: np.ndarray) -> np.ndarray:
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The few open documents of a source to 0 or 1: the choice whose words come nearest to what is expected (ties: fewer documents)."""
+    """The few open documents of a source to 0 or 1: the choice whose words, then documents, come nearest to what is expected."""
     open_ = np.flatnonzero((p > 0) & (p < 1))
     p = p.copy()
     if len(open_):
         choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
         off = np.abs(choices @ size[open_].astype(float) - p[open_] @ size[open_].astype(float))
-        p[open_] = choices[np.lexsort((choices.sum(1), np.round(off, 6)))[0]]
+        more = np.abs(choices.sum(1) - p[open_].sum())
+        p[open_] = choices[np.lexsort((np.arange(len(choices)), np.round(more, 6), np.round(off, 6)))[0]]
     return p
 
 
@@ -81,7 +84,9 @@ def _flights(last: bool):
         t = {c: rows[c].to_numpy(zero_copy_only=False) for c in ("__size", "__p", "__coin")}
         order = np.lexsort((t["__coin"], -t["__size"]))  # the smallest documents come last and stay open
         p = t["__p"].copy()
-        p[order] = flight(p[order], t["__size"][order], (t["__coin"][order] >> 11) / float(1 << 53) + 0.5)
+        left = np.unique(np.linspace(0, len(order) - 1, min(LANDING, len(order))).round().astype(int)) if last else []
+        flown = np.delete(order, left)
+        p[flown] = flight(p[flown], t["__size"][flown], (t["__coin"][flown] >> 11) / float(1 << 53) + 0.5)
         if last:
             p[order] = landing(p[order], t["__size"][order])
         return rows.set_column(rows.schema.get_field_index("__p"), "__p", pa.array(p))
@@ -98,7 +103,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A source's documents are each due target / source_size times: the whole part always, the rest as a probability, settled by
     flights over parts of the source with the documents that stay open (two to a part) going to the next flight, until a
-    landing of two documents is left for each source. Drawn from the hash of the id: reruns agree. Null texts have no words
+    landing of a few documents is left for each source. Drawn from the hash of the id: reruns agree. Null texts have no words
     and a null source is a source. Sources without words have target 0 and nothing is taken. Of rows that repeat, each is a
     document. What is collected is one row per source.
     """
