@@ -136,9 +136,15 @@ def sample(docs: DataFrame, wanted: Column, each: int = 300, text_col: str = "te
     """Up to `each` whole texts of each language to learn from, those first by the hash of their id.
 
     Only texts of `longest` bytes at most, so that what the driver gets is bounded; texts and languages that are null don't count.
+    Counts by language come first, so that of each language only rows whose hash lies low enough to be chosen are ranked.
     """
     known = docs.where(wanted & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= longest))
     keyed = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("doc"), F.xxhash64(id_col).alias("order"))
+    counts = {r.lang: r["count"] for r in keyed.groupBy("lang").count().collect()}
+    share = F.lit(0.0)
+    for lang, n in sorted(counts.items()):
+        share = F.when(F.col("lang") == lang, min(1.0, (4 * each + 100) / n)).otherwise(share)
+    keyed = keyed.where(F.shiftrightunsigned("order", 11) / float(1 << 53) < share)
     first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc"))).where(F.col("n") <= each).select(F.col("doc").alias("chosen"))
     texts = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc")).join(F.broadcast(first.distinct()), F.col("doc") == F.col("chosen"), "left_semi")
     out: dict[str, list[str]] = defaultdict(list)
