@@ -118,5 +118,19 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM (SELECT doc
          ANTI JOIN (SELECT doc_id, unnest(g) AS pos FROM gone) USING (doc_id, pos) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+    "op10_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+p AS (SELECT doc_id, i, hash(substring(h, CAST(2 * i + 1 AS BIGINT), 200)) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g
+         FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100 THEN 1 ELSE 0 END AS new FROM later)) GROUP BY doc_id, g),
+spans AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM runs),
+parts AS (SELECT s.doc_id, a, substring(h, CAST(2 * z + 1 AS BIGINT), CAST(2 * (a - z) AS BIGINT)) AS t FROM spans s JOIN d USING (doc_id)
+          UNION ALL SELECT doc_id, n + 1, substring(h, CAST(2 * b + 1 AS BIGINT), CAST(2 * (n - b) AS BIGINT)) FROM (SELECT doc_id, max(b) AS b FROM runs GROUP BY doc_id) JOIN d USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(t, '' ORDER BY a) AS t FROM parts GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS r, count(*) AS s FROM runs GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
 }
