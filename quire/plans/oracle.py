@@ -68,6 +68,42 @@ r AS (SELECT doc_id, title, index AS first, CAST(coalesce(nxt, n) AS INTEGER) AS
       UNION ALL SELECT doc_id, 'Front Matter', 0, index, 'front' FROM h WHERE k = 1 AND index > 0),
 chapters AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INTEGER) AS ordinal FROM r)"""
 
+# Titles of the pages are no labels: their one level is the chapter's, without numbers.
+_CHAPTERS = rf"""{_SCORED},
+c0 AS (SELECT *, {_NORM.format("title")} AS norm FROM scored WHERE confidence > 0),
+c1 AS (SELECT * FROM c0 QUALIFY norm = '' OR count(*) OVER (PARTITION BY doc_id, norm) < 4),
+c2 AS (SELECT * FROM c1 WHERE level = 'chapter' QUALIFY count(*) OVER (PARTITION BY doc_id) >= 2),
+r AS (SELECT doc_id, index, confidence AS s, row_number() OVER w AS k, lead(confidence) OVER w AS nxt FROM c2 WINDOW w AS (PARTITION BY doc_id ORDER BY confidence DESC, index)),
+top AS (SELECT doc_id, s AS hi, nxt AS lo FROM r WHERE nxt IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s - nxt DESC, k) = 1),
+t AS (SELECT doc_id, max(s) AS mx, min(s) AS mn, quantile_cont(s, 0.75) AS q3 FROM r GROUP BY doc_id),
+u AS (SELECT *, (hi - lo) / (mx - mn + 1e-9) AS sep FROM t JOIN top USING (doc_id)),
+v AS (SELECT *, CASE WHEN sep >= 0.08 THEN (hi + lo) / 2 ELSE q3 END AS cut FROM u),
+q AS (SELECT doc_id, count(*) FILTER (WHERE s >= cut) AS passed FROM r JOIN v USING (doc_id) GROUP BY doc_id),
+thr AS (SELECT doc_id, sep, round(CASE WHEN passed < 2 AND mn >= 0.4 THEN mn - 0.001 ELSE cut END, 4) AS accept FROM v JOIN q USING (doc_id)),
+g0 AS (SELECT c2.*, sep FROM c2 JOIN thr USING (doc_id) WHERE confidence >= accept),
+g1 AS (SELECT * FROM g0 QUALIFY row_number() OVER (PARTITION BY doc_id, norm ORDER BY index) = 1),
+e AS (SELECT doc_id, index, confidence AS s, row_number() OVER (PARTITION BY doc_id ORDER BY index) AS k FROM g1),
+m AS (SELECT doc_id, greatest(2, CAST(floor(0.12 * median(gap)) AS INTEGER)) AS m FROM (SELECT doc_id, lead(index) OVER (PARTITION BY doc_id ORDER BY index) - index AS gap FROM e) GROUP BY doc_id),
+f AS (SELECT e.doc_id, k, [index] AS kept, s AS last FROM e WHERE k = 1
+      UNION ALL
+      SELECT f.doc_id, e.k, CASE WHEN e.index - f.kept[-1] >= m THEN list_append(f.kept, e.index) WHEN e.s > f.last THEN list_append(f.kept[1:len(f.kept) - 1], e.index) ELSE f.kept END,
+             CASE WHEN e.index - f.kept[-1] >= m OR e.s > f.last THEN e.s ELSE f.last END
+      FROM f JOIN m USING (doc_id) JOIN e ON e.doc_id = f.doc_id AND e.k = f.k + 1),
+kept_ AS (SELECT doc_id, unnest(arg_max(kept, k)) AS index FROM f GROUP BY doc_id),
+d AS (SELECT doc_id, index, row_number() OVER w AS k, lead(index) OVER w - index AS gap FROM kept_ WINDOW w AS (PARTITION BY doc_id ORDER BY index)),
+tiny AS (SELECT doc_id, coalesce(avg(CASE WHEN gap < 3 THEN 1.0 WHEN gap IS NOT NULL THEN 0.0 END), 0) > 0.5 AS over FROM d GROUP BY doc_id),
+o AS (SELECT d.doc_id, k, index AS last, index FROM d JOIN tiny USING (doc_id) WHERE k = 1 AND over
+      UNION ALL
+      SELECT d.doc_id, d.k, CASE WHEN d.index - o.last >= 3 THEN d.index ELSE o.last END, CASE WHEN d.index - o.last >= 3 THEN d.index END FROM o JOIN d ON d.doc_id = o.doc_id AND d.k = o.k + 1),
+b0 AS (SELECT doc_id, index FROM o WHERE index IS NOT NULL UNION ALL SELECT doc_id, index FROM d JOIN tiny USING (doc_id) WHERE NOT over),
+b1 AS (SELECT g0.*, count(*) OVER (PARTITION BY doc_id) AS n FROM g0 SEMI JOIN b0 USING (doc_id, index)),
+b2 AS (SELECT * FROM b1 WHERE n >= 3 OR (n >= 2 AND sep >= 0.08)),
+total AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM book GROUP BY doc_id),
+h AS (SELECT b2.doc_id, title, index, confidence, lead(index, 1, total.n) OVER (PARTITION BY b2.doc_id ORDER BY index) AS last, row_number() OVER (PARTITION BY b2.doc_id ORDER BY index) AS k FROM b2 JOIN total USING (doc_id)),
+all_ AS (SELECT doc_id, title, index AS first, last, 'chapter' AS level, confidence FROM h
+         UNION ALL SELECT doc_id, 'Front Matter', 0, index, 'front', 1.0 FROM h WHERE k = 1 AND index > 0
+         UNION ALL SELECT doc_id, '(whole document)', 0, n, 'chapter', 0.0 FROM total ANTI JOIN b2 USING (doc_id))"""
+
 ORACLE: dict[str, str] = {
     "seg_text_blocks": rf"""WITH {_LINES}
 SELECT doc_id, index, {_WORDS.format("text")} AS word_count, text = '' AS is_empty,
@@ -157,4 +193,7 @@ SELECT doc_id, final AS stem, CASE WHEN length(CAST(doc_id AS VARCHAR)) < 2 THEN
     "seg_numbering_prune": _values([(1, 38, 1), (1, 101, 2), (1, 191, 3), (1, 251, 4)], "doc_id, index, number"),
     "seg_list_starts": _values([(1, 10), (1, 40), (1, 80), (2, 60), (2, 90)], "doc_id, index"),
     "seg_toc_field": _values([(1, 10, "Preface", 0), (1, 20, "The Old Mill", 1), (1, 30, "The River at Nigth", 1), (1, 40, "Homecoming", 1)], "doc_id, index, title, level"),
+    "seg_chapters": rf"""WITH RECURSIVE {_CHAPTERS}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INTEGER) AS ordinal, title, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, level, CAST(confidence AS DOUBLE) AS confidence,
+       CASE WHEN level = 'front' THEN 'front_matter' WHEN title <> '(whole document)' AND regexp_matches(lower(title), 'gutenberg|license|licence|copyright|colophon|transcriber|errata|end of the project') THEN 'back_matter' ELSE 'body' END AS role FROM all_""",
 }
