@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,6 +85,17 @@ def _labelled(kind: Column, next_number: Column, surface: Column) -> Column:
 
 
 def match_division(text: Column) -> Column:
+    """The division of a heading (see _division_of). The expression over a plain column is built once and used again."""
+    name = str(text._jc.toString())
+    return _of_column(name, id(SparkContext._gateway)) if re.fullmatch(r"[a-z_]+", name) else _division_of(text)
+
+
+@lru_cache(16)
+def _of_column(name: str, gateway: int) -> Column:
+    return _division_of(F.col(name))
+
+
+def _division_of(text: Column) -> Column:
     """struct(type, number, system, role, surface) of a heading: roles labeled, ordinal_label, named, matter and bare; else null.
 
     A label first (Chapter IV), a number before a label (1ere nuit), or a number by itself. Indic labels are compared as they
