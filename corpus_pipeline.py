@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontamination, mixing, nearcopies, pii, quality
-from quire.llm.common import fold, table, written
+from quire.llm.common import fold, small_batches, table, written
 from quire.llm.queries import LABELLED
 
 
@@ -37,6 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With the kind of each span of personal data in its place."""
+    small_batches(spark)
     return _changed(docs, pii.redact(F.col("text"), pii.train()))
 
 

@@ -14,7 +14,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that go to a Python worker at once: whole texts, of which Spark's own 10,000 take much of a small executor's memory.
+BATCH = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCH where the session has Spark's own number of rows."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +46,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     The files go when the session's file system closes.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/quire-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
