@@ -6,13 +6,16 @@ from ..functions import lexicon as L
 from . import queries as Q
 
 
-def _values(rows: list[tuple], columns: str) -> str:
+def _values(rows: list[tuple], columns: str, long: str = "") -> str:
+    """long: the columns that are BIGINT."""
+
     def literal(x: object) -> str:
         if x is None:
             return "NULL"
         return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
 
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({columns})"
+    casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in long.split())
+    return f"SELECT *{f' REPLACE ({casts})' if casts else ''} FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({columns})"
 
 
 _NORM = r"trim(regexp_replace(replace(lower({0}), ':', ' '), '[\s\x{{00A0}}]+', ' ', 'g'))"
@@ -109,8 +112,8 @@ ORACLE: dict[str, str] = {
 SELECT doc_id, index, {_WORDS.format("text")} AS word_count, text = '' AS is_empty,
        regexp_matches(text, '\p{{L}}') AND NOT regexp_matches(regexp_replace(text, '\p{{Lu}}', '', 'g'), '\p{{L}}') AS caps, {_NORM.format("text")} AS norm FROM lines""",
     "seg_html_blocks": rf"WITH {_BOOKS} SELECT * FROM book",
-    "seg_numbers": _values(Q.NUMBERS, "token, system, value"),
-    "seg_divisions": _values(Q.DIVISIONS, "line, type, number, system, role"),
+    "seg_numbers": _values(Q.NUMBERS, "token, system, value", "value"),
+    "seg_divisions": _values(Q.DIVISIONS, "line, type, number, system, role", "number"),
     "seg_modal_sizes": """
 WITH n AS (SELECT p_brand, p_size, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL),
 b AS (SELECT p_brand, p_size AS body_size FROM n QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, first) = 1),
@@ -190,10 +193,18 @@ SELECT doc_id, final AS stem, CASE WHEN length(CAST(doc_id AS VARCHAR)) < 2 THEN
        trim(regexp_replace(regexp_replace(lower(regexp_replace(title, '[\s.\x{{2026}}]+\d{{1,4}}\s*$', '')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS entry FROM v""",
     "seg_hrefs": _values(Q.HREFS, "base, ref, path"),
     "seg_members": _values(Q.MEMBERS, "member, safe"),
-    "seg_numbering_prune": _values([(1, 38, 1), (1, 101, 2), (1, 191, 3), (1, 251, 4)], "doc_id, index, number"),
-    "seg_list_starts": _values([(1, 10), (1, 40), (1, 80), (2, 60), (2, 90)], "doc_id, index"),
-    "seg_toc_field": _values([(1, 10, "Preface", 0), (1, 20, "The Old Mill", 1), (1, 30, "The River at Nigth", 1), (1, 40, "Homecoming", 1)], "doc_id, index, title, level"),
+    "seg_numbering_prune": _values([(1, 38, 1), (1, 101, 2), (1, 191, 3), (1, 251, 4)], "doc_id, index, number", "doc_id number"),
+    "seg_list_starts": _values([(1, 10), (1, 40), (1, 80), (2, 60), (2, 90)], "doc_id, index", "doc_id"),
+    "seg_toc_field": _values([(1, 10, "Preface", 0), (1, 20, "The Old Mill", 1), (1, 30, "The River at Nigth", 1), (1, 40, "Homecoming", 1)], "doc_id, index, title, level", "doc_id"),
     "seg_chapters": rf"""WITH RECURSIVE {_CHAPTERS}
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INTEGER) AS ordinal, title, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, level, CAST(confidence AS DOUBLE) AS confidence,
        CASE WHEN level = 'front' THEN 'front_matter' WHEN title <> '(whole document)' AND regexp_matches(lower(title), 'gutenberg|license|licence|copyright|colophon|transcriber|errata|end of the project') THEN 'back_matter' ELSE 'body' END AS role FROM all_""",
+    "seg_plans": rf"""WITH RECURSIVE {_CHAPTERS},
+how AS (SELECT doc_id, round(sep, 4) AS separation, accept, CASE WHEN sep >= 0.08 THEN 'gap_analysis' ELSE 'iqr_fallback' END || CASE WHEN passed < 2 AND mn >= 0.4 THEN '+uniform_cluster' ELSE '' END AS method
+        FROM thr JOIN (SELECT doc_id, mn, passed FROM v JOIN q USING (doc_id)) USING (doc_id)),
+left_ AS (SELECT doc_id, count(*) AS k FROM b1 GROUP BY doc_id),
+x AS (SELECT total.doc_id, total.n AS n_blocks, how.*, coalesce(k, 0) AS k, how.doc_id IS NULL AS none, coalesce(separation, 0) < 0.08 AS loose FROM total LEFT JOIN how ON how.doc_id = total.doc_id LEFT JOIN left_ ON left_.doc_id = total.doc_id)
+SELECT doc_id, n_blocks, 11 AS body_size, k < 2 OR (loose AND k < 3) AS abstained,
+       CASE WHEN k < 2 OR (loose AND k < 3) THEN concat_ws('; ', CASE WHEN none THEN 'no_structure_discovered' END, CASE WHEN loose THEN 'insufficient_confidence_separation' END, CASE WHEN k < 2 THEN 'too_few_validated_boundaries' END) END AS reason,
+       coalesce(method, 'empty') AS method, accept, separation, CASE WHEN NOT none THEN 'chapter' END AS split_level, CASE WHEN NOT none THEN 'Chapter' END AS hierarchy, CASE WHEN NOT none THEN '' END AS flags FROM x""",
 }
