@@ -1,4 +1,4 @@
-"""Near copies of documents: SimHash fingerprints compared bit-sliced against bucket leaders, then exact resemblance."""
+"""Near copies of documents: SimHash fingerprints compared bit-sliced against bucket leaders, then exact resemblance of all that is left."""
 
 from __future__ import annotations
 
@@ -21,6 +21,8 @@ BANDS, LEAST = 16, 4
 RADIUS = 20
 #: Rows of a bucket in one task; larger ones go to pairs of blocks of about that size.
 LARGE = 1 << 16
+#: The same where the texts' shingles are compared: rows and shingles of a block.
+ROWS, SHINGLES = 1 << 12, 1 << 22
 _RNG = np.random.Generator(np.random.PCG64(7))
 _TIMES, _PLUS = (_RNG.integers(1, 2**63, BANDS * LEAST, np.uint64) | np.uint64(1)), _RNG.integers(1, 2**63, BANDS * LEAST, np.uint64)
 
@@ -35,18 +37,20 @@ def _bands(hashes: np.ndarray) -> list[int]:
 
 
 def _described(words: int):
-    kind = "struct<node bigint, fp bigint, bands array<bigint>, sketch binary>"
+    kind = "struct<node bigint, fp bigint, bands array<bigint>, n bigint, sketch binary>"
 
     @F.arrow_udf(kind)
     def described(texts: pa.Array) -> pa.Array:
-        node, fp, bands, sketch = [], [], [], []
+        node, fp, bands, n, sketch = [], [], [], [], []
         for t in texts.to_pylist():
             hashes = shingle_hashes(t or "", words)
             node.append(xxhash.xxh3_64_intdigest(b" ".join((t or "").encode().lower().split())) - (1 << 63))
             fp.append(fingerprint_of(hashes))
             bands.append(_bands(hashes) if len(hashes) else [])
-            sketch.append(_packed(np.unique(hashes & np.uint64(0xFFFFFF)).astype(np.int64)))
-        return pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["node", "fp", "bands", "sketch"])
+            short = np.unique(hashes & np.uint64(0xFFFFFF)).astype(np.int64)
+            n.append(len(short))
+            sketch.append(_packed(short))
+        return pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], ["node", "fp", "bands", "n", "sketch"])
 
     return described
 
@@ -123,19 +127,85 @@ def _candidates():
     return run
 
 
-def _met(keyed: DataFrame) -> DataFrame:
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows of the buckets with more than one, with that number (rows)."""
+    sized = keyed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return keyed.join(sized, ["band", "bucket"])
+
+
+def _dealt(rows: DataFrame, parts: Column, *columns: str) -> DataFrame:
+    """(band, bucket, side, node, columns) in order of the first four; a bucket of several parts as pairs of blocks."""
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = rows.withColumn("parts", parts.cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high, one = F.least("own", "other"), F.greatest("own", "other"), F.col("parts") == 1
+    side = F.when(one, 0).when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    place = F.when(one, F.col("bucket")).otherwise(F.xxhash64("bucket", low, high))
+    dealt = dealt.select(F.col("band").cast("long").alias("band"), place.alias("bucket"), side.cast("long").alias("side"), "node", *columns)
+    return dealt.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "side", "node")
+
+
+def _met(shared: DataFrame) -> DataFrame:
     """Pairs of nodes whose fingerprints are near, from the buckets with more than one; very large ones as pairs of blocks."""
-    sized = keyed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = keyed.join(sized, ["band", "bucket"])
-    parts = F.ceil(F.col("n") / LARGE).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(parts == 1, 0).when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    place = F.when(parts == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", low, high))
-    dealt = dealt.select(F.col("band").cast("long").alias("band"), place.alias("bucket"), side.cast("long").alias("side"), "node", "fp")
-    ordered = dealt.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "side", "node")
-    return ordered.mapInArrow(_candidates(), "node long, leader long").distinct()
+    return _dealt(shared, F.ceil(F.col("rows") / LARGE), "fp").mapInArrow(_candidates(), "node long, leader long").distinct()
+
+
+def _open_links(node: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float, marked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links of a bucket between nodes of different roots that resemble each other: each pair is tried unless links join it already."""
+    label, size = root.copy(), np.array([len(s) for s in sets])
+    for i in range(len(node) - 1):
+        to = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if side[i]:
+            to = to[side[to] != side[i]]
+        to = to[np.minimum(size[to], size[i]) / np.maximum(size[to], size[i]) >= similarity]  # none resembles more than that
+        if not len(to):
+            continue
+        marked[sets[i]] = True
+        both = np.add.reduceat(marked[np.concatenate([sets[j] for j in to])], np.r_[0, np.cumsum(size[to])[:-1]], dtype=np.int64)
+        marked[sets[i]] = False
+        alike = to[both / (size[i] + size[to] - both) >= similarity]
+        for j in alike.tolist():
+            yield int(node[i]), int(node[j])
+        label[np.isin(label, label[alike])] = label[i]
+
+
+def _compared(similarity: float):
+    """mapInArrow over (band, bucket, side, node, root, sketch) sorted by the first four: links (u, v), u > v, of texts alike."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, list[bytes]]] = []
+        marked = np.zeros(1 << 24, bool)
+
+        def made(rows: np.ndarray, sketches: list[bytes]) -> Iterator[pa.RecordBatch]:
+            cuts = np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(0), True]).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                found = np.array([*_open_links(rows[3, a:b], rows[4, a:b], rows[2, a:b], [_unpacked(s) for s in sketches[a:b]], similarity, marked)], np.int64).reshape(-1, 2)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found.max(1)), pa.array(found.min(1))], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append((np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]]), batch.column(5).to_pylist()))
+            if (held[-1][0][:2, 0] != held[0][0][:2, 0]).any() or (held[-1][0][:2, -1] != held[0][0][:2, 0]).any():
+                rows, sketches = np.concatenate([r for r, _ in held], 1), [s for _, k in held for s in k]
+                last = int(np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(0)])[-1])  # that bucket may go on
+                yield from made(rows[:, :last], sketches[:last])
+                held = [(rows[:, last:].copy(), sketches[last:])]
+        if held:
+            yield from made(np.concatenate([r for r, _ in held], 1), [s for _, k in held for s in k])
+
+    return run
+
+
+def _left(shared: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(u, v), u > v: links between texts alike that meet in a bucket and have different roots, whatever their fingerprints."""
+    rooted = shared.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("band", "bucket").agg(F.sum("n").alias("shingles"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    open_ = written(rooted.join(several.drop("low", "high"), ["band", "bucket"]), "open")
+    own = sketches.join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    parts = F.greatest(F.ceil(F.col("rows") / ROWS), F.ceil(F.col("shingles") / SHINGLES))
+    return written(_dealt(open_.join(own, "node"), parts, "root", "sketch").mapInArrow(_compared(similarity), "u long, v long").distinct(), "left")
 
 
 def _resemblance():
@@ -162,21 +232,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents of the same words are copies; of the others, those go together that share `similarity` of their shingles (as
     sets, A-Z in lower case), directly or over others. Texts without words (null, empty) are copies of each other. Texts meet
-    in buckets of equal bands of least hashes, where their fingerprints are compared: in buckets of up to SMALL all pairs that
-    are near are looked at, in larger ones each text with its nearest leader (a text near no leader before it), so that the
-    pairs grow with the number of texts and not with the square of a group. Null ids come last.
+    in buckets of equal bands of least hashes. There the likeliest pairs by fingerprint are looked at first (in buckets of up
+    to SMALL all that are near, in larger ones each text with its nearest leader), so that groups come together without all
+    their pairs; then, whatever the fingerprints, all pairs of a bucket that aren't in one group by then. Null ids come last.
     """
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), _described(words)(F.col(text_col)).alias("d")).select("key", "id", "d.*")
     rows = written(rows, "described")
-    classes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("fp", "bands")).alias("d")).select("node", "least", "d.*")
-    keyed = written(classes.select("node", "fp", F.posexplode("bands").alias("band", "bucket")), "bands")
+    classes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("fp", "bands", "n")).alias("d")).select("node", "least", "d.*")
+    keyed = written(classes.select("node", "fp", "n", F.posexplode("bands").alias("band", "bucket")), "bands")
+    shared = written(_shared(keyed), "shared")
     sketches = rows.select("node", "sketch")
-    pairs = written(_met(keyed), "pairs")
+    pairs = written(_met(shared), "pairs")
     mine = pairs.select("node").union(pairs.select(F.col("leader").alias("node"))).distinct()
     needed = sketches.join(mine, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
     sides = pairs.join(needed, "node").withColumnRenamed("sketch", "a").join(needed.select(F.col("node").alias("leader"), F.col("sketch").alias("b")), "leader")
     alike = sides.where(_resemblance()(F.col("a"), F.col("b")) >= similarity)
     roots = components(alike.select(F.col("node").alias("u"), F.col("leader").alias("v")))
+    left = _left(shared, roots, sketches, similarity)
+    if not left.isEmpty():
+        roots = components(roots.unionByName(left))
     placed = classes.select("node", "least").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = placed.join(placed.groupBy("root").agg(F.min("least").alias("group_id")), "root").select("node", "root", "group_id")
     found = rows.groupBy("key", "id", "node").agg(F.count(F.lit(1)).alias("times")).join(groups, "node")

@@ -252,6 +252,29 @@ def test_near_copies(spark, docs, corpus, monkeypatch, small, large):
     assert nearcopies.one_of_each(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [1 << 12, 40])
+def test_near_copies_star(spark, monkeypatch, rows):
+    """A page and its edited versions, alike over the page alone, in buckets of over SMALL texts and in several blocks."""
+    monkeypatch.setattr(nearcopies, "ROWS", rows)
+    rng = random.Random(12)
+    texts = []
+    for page in range(2):
+        base = [f"{page}w{k}" for k in range(204)]
+        texts.append(base)
+        for v in range(250):
+            edited = list(base)
+            for at in rng.sample(range(5, 200), 3):
+                edited[at] = f"e{v}x{at}"
+            texts.append(edited)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(links) < 0.1 * len(sets) ** 2
+    root = closure(links, range(len(sets)))
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.id: r.group_id for r in nearcopies.near_copies(frame).collect()}
+    assert len(set(root.values())) == 2 and got == root
+
+
 def test_decontamination(spark, docs, corpus, monkeypatch):
     by_id = dict(corpus)
     long = [t for t in by_id.values() if t and len(t.split()) > 60]
