@@ -17,7 +17,7 @@ from .simhash import CHUNK, SMALL, fingerprint_of, near_ahead, near_each, shingl
 
 #: Bands of so many least values; a pair that resembles 0.8 shares a band with probability 0.9998.
 BANDS, LEAST = 16, 4
-#: Fingerprints of texts that resemble 0.8 differ in 10 bits or so; more than this is as good as never.
+#: Fingerprints of texts that resemble 0.8 differ in 10 bits or so. Pairs beyond this aren't lost: they are compared after the others.
 RADIUS = 20
 #: Rows of a bucket in one task; larger ones go to pairs of blocks of about that size.
 LARGE = 1 << 16
@@ -45,7 +45,7 @@ def _described(words: int):
         for t in texts.to_pylist():
             hashes = shingle_hashes(t or "", words)
             node.append(xxhash.xxh3_64_intdigest(b" ".join((t or "").encode().lower().split())) - (1 << 63))
-            fp.append(fingerprint_of(hashes))
+            fp.append(fingerprint_of(np.unique(hashes)))  # as sets, like bands and resemblance
             bands.append(_bands(hashes) if len(hashes) else [])
             short = np.unique(hashes & np.uint64(0xFFFFFF)).astype(np.int64)
             n.append(len(short))

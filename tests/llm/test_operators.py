@@ -275,6 +275,20 @@ def test_near_copies_star(spark, monkeypatch, rows):
     assert len(set(root.values())) == 2 and got == root
 
 
+def test_near_copies_repeated_line(spark):
+    """The same shingles, a line once more or many times more: alike, however far apart fingerprints over all shingles are."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(30):
+        word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+        body, line = [word() for _ in range(300)], [word() for _ in range(12)]
+        rows += [(2 * k, " ".join(body + line * 2)), (2 * k + 1, " ".join(body + line * 40))]
+    prints = [simhash.fingerprint_of(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    assert any((a ^ b).bit_count() > nearcopies.RADIUS for a, b in zip(prints[::2], prints[1::2]))
+    got = {r.id: r.group_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
 def test_decontamination(spark, docs, corpus, monkeypatch):
     by_id = dict(corpus)
     long = [t for t in by_id.values() if t and len(t.split()) > 60]
