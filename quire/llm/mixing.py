@@ -14,7 +14,7 @@ from .common import WORD, written
 
 #: Documents of a source that one flight takes, and flights whose rests the next one takes together.
 FLIGHT, REST = 4096, 1000
-#: Documents of a source, of all sizes, that the last flight leaves to the landing, where all their choices are weighed.
+#: Documents, of all sizes, that each flight leaves open: those of the last one go to the landing, where all their choices are weighed.
 LANDING = 14
 
 
@@ -84,7 +84,7 @@ def _flights(last: bool):
         t = {c: rows[c].to_numpy(zero_copy_only=False) for c in ("__size", "__p", "__coin")}
         order = np.lexsort((t["__coin"], -t["__size"]))  # the smallest documents come last and stay open
         p = t["__p"].copy()
-        left = np.unique(np.linspace(0, len(order) - 1, min(LANDING, len(order))).round().astype(int)) if last else []
+        left = np.unique(np.linspace(0, len(order) - 1, min(LANDING, len(order))).round().astype(int))
         flown = np.delete(order, left)
         p[flown] = flight(p[flown], t["__size"][flown], (t["__coin"][flown] >> 11) / float(1 << 53) + 0.5)
         if last:
@@ -102,8 +102,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per row of docs: id, source, size (words), source_size, target, copies, taken (copies x size).
 
     A source's documents are each due target / source_size times: the whole part always, the rest as a probability, settled by
-    flights over parts of the source with the documents that stay open (two to a part) going to the next flight, until a
-    landing of a few documents is left for each source. Drawn from the hash of the id: reruns agree. Null texts have no words
+    flights over parts of the source with the documents that stay open (LANDING of all sizes and two to a part) going to the
+    next flight, until a landing of a few documents is left for each source. A source's draw depends on its own documents and
+    its target, not on how many flights other sources need. Drawn from the hash of the id: reruns agree. Null texts have no words
     and a null source is a source. Sources without words have target 0 and nothing is taken. Of rows that repeat, each is a
     document. What is collected is one row per source.
     """

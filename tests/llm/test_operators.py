@@ -422,6 +422,24 @@ def test_mix(spark, docs, corpus, monkeypatch):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_keeps_the_landing(spark, monkeypatch):
+    """A small source is settled alike whether or not another one takes several flights, and so is a large one's total."""
+    rng = np.random.default_rng(31)
+    size = {s: np.r_[np.maximum(1, rng.lognormal(5, 1, n)).astype(int), 20_000] for s, n in (("a", 100), ("b", 900))}
+    rows = [(1000 * k + i, s, " ".join(["w"] * int(n))) for k, (s, v) in enumerate(size.items()) for i, n in enumerate(v)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").cache()
+    monkeypatch.setattr(mixing, "REST", 2)
+    found = {}
+    for flight in (4096, 128):
+        monkeypatch.setattr(mixing, "FLIGHT", flight)
+        found[flight] = mixing.mix(frame, weights=(1, 1.3)).collect()
+        for s in "ab":
+            own = [r for r in found[flight] if r.source == s]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 0.005 * own[0].target, (flight, s)
+    small = [{r.id: r.copies for r in v if r.source == "a"} for v in found.values()]
+    assert small[0] == small[1]
+
+
 def test_folds(spark):
     ids = [0, 1, 17, 123456789]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(fold(F.col("i"), 3)).collect()]
