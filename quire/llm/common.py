@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources import tables
+from quire.sources.tables import dropped  # noqa: F401
+
 #: What counts as a word wherever words are separated by ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows that go to a Python worker at once: whole texts, of which Spark's own 10,000 take much of a small executor's memory.
-BATCH = 2000
+#: Rows and bytes that go to a Python worker at once: of whole texts, Spark's own bounds take much of a small executor's memory.
+BATCH, BATCH_BYTES = 2000, 8 << 20
+#: A key with more than this part of all rows is dealt out over several tasks where rows are joined.
+SHARES = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets BATCH where the session has Spark's own number of rows."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    """Sets BATCH and BATCH_BYTES where the session has Spark's own bounds."""
+    for name, usual, wanted in (("maxRecordsPerBatch", ("10000",), BATCH), ("maxBytesPerBatch", ("64MB", "67108864", "67108864b", str((1 << 31) - 1)), BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", usual[0]) in usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(wanted))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,29 +32,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is configured (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="quire-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder (see quire.sources.tables.written), computed in small batches."""
+    small_batches(df.sparkSession)
+    return tables.written(df, tag)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage there, and survives the loss of executors.
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], rows: str, total: int, how: str = "inner", by: str = "") -> DataFrame:
+    """many joined to one, where one has a row for each key and, in the column `rows`, how many rows of many have that key.
 
-    The files go when the session's file system closes.
+    A key with over 1/SHARES of all rows (total) is dealt out over tasks: its row of one goes to each of them. There can't be
+    more than SHARES such keys, so their list, which is broadcast, has a size bound. by: the column that deals rows out.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark).rstrip('/')}/quire-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    slice_ = max(1, -(-total // SHARES))
+    parts = F.ceil(F.col(rows) / F.lit(slice_)).cast("int")
+    hot = F.broadcast(one.where(F.col(rows) > slice_).select(*on, parts.alias("__parts")))
+    left = many.join(hot, on, "left").withColumn("__salt", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("__parts")).cast("int"))).drop("__parts")
+    right = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > slice_, parts - 1).otherwise(0))))
+    return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
 def fold(key: Column, of: int) -> Column:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
-_PAIR = "struct<u bigint, v bigint>"
+from .common import dropped, spread_join, written
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -18,23 +16,26 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, v): for each node with an edge, but the least of its component, that least node v.
 
     edges: (u, v), u > v, of longs. Each round moves edges towards the least node; their number doesn't grow, and the
-    rounds grow with the logarithm of the longest path. Each round is a table in the shared folder. A node with very many
-    edges is aggregated before it is shuffled, and its edges can be split over tasks when its least neighbour is joined.
+    rounds grow with the logarithm of the longest path. Each round is a table in the shared folder, and the one before goes.
+    A node with very many edges is aggregated before it is shuffled, and its edges are dealt out over tasks when its least
+    neighbour is joined.
     """
     edges = written(edges.distinct(), "edges")
     last = _sum(edges)
-    if not last[0]:
-        return edges
-    while True:
+    while last[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("rows")).withColumn("m", F.least("u", "m"))
         # large star: a node's larger neighbours go to its least neighbour
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both.where("v > u"), least, ["u"], "rows", last[0], by="v").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours go to the least of them
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        edges = written(small, "edges")
-        now = _sum(edges)
+        own = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows"))
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = spread_join(large, own, ["u"], "rows", last[0], by="v").select(F.explode(pairs).alias("e")).select("e.*").where("u != v").distinct()
+        new = written(small, "edges")
+        now = _sum(new)
+        dropped(edges)
+        edges = new
         if now == last:
-            return edges
+            break
         last = now
+    return edges

@@ -1,4 +1,4 @@
-"""Near copies of documents: SimHash fingerprints compared bit-sliced against bucket leaders, then exact resemblance of all that is left."""
+"""Near copies of documents: bit-sliced SimHash comparison in buckets, then exact resemblance of all that is left in them."""
 
 from __future__ import annotations
 
@@ -10,52 +10,50 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, spread_join, written
 from .graph import components
 from .repeats import _packed, _unpacked
-from .simhash import CHUNK, SMALL, fingerprint_of, near_ahead, near_each, shingle_hashes
+from .simhash import fingerprint_of, near_ahead, near_each, shingle_hashes
 
-#: Bands of so many least values; a pair that resembles 0.8 shares a band with probability 0.9998.
-BANDS, LEAST = 16, 4
-#: Fingerprints of texts that resemble 0.8 differ in 10 bits or so. Pairs beyond this aren't lost: they are compared after the others.
+#: Bands of so many least values: a pair that resembles 0.8 shares none with probability 3.2e-6, one of 0.85 with 2e-8.
+BANDS, LEAST = 24, 4
+#: Pairs of fingerprints up to this distance are looked at first (texts that resemble 0.8 differ in 10 bits or so). Pairs beyond aren't lost.
 RADIUS = 20
-#: Rows of a bucket in one task; larger ones go to pairs of blocks of about that size.
-LARGE = 1 << 16
-#: The same where the texts' shingles are compared: rows and shingles of a block.
-ROWS, SHINGLES = 1 << 12, 1 << 22
+#: Rows and shingles of a block: what a task compares at once. Larger buckets are dealt out as blocks.
+ROWS, SHINGLES = 1 << 12, 1 << 20
+#: Up to this size buckets are compared side by side, larger ones each by itself: a matter of speed, not of results.
+SMALL = 48
 _RNG = np.random.Generator(np.random.PCG64(7))
-_TIMES, _PLUS = (_RNG.integers(1, 2**63, BANDS * LEAST, np.uint64) | np.uint64(1)), _RNG.integers(1, 2**63, BANDS * LEAST, np.uint64)
+_TIMES, _PLUS = (_RNG.integers(0, 2**32, BANDS * LEAST, np.uint32) | np.uint32(1)), _RNG.integers(0, 2**32, BANDS * LEAST, np.uint32)
 
 
 def _bands(hashes: np.ndarray) -> list[int]:
-    least = np.full(BANDS * LEAST, np.iinfo(np.uint64).max, np.uint64)
-    for begin in range(0, len(hashes), 512):
-        z = hashes[begin : begin + 512, None] * _TIMES + _PLUS
-        z ^= z >> np.uint64(29)
-        least = np.minimum(least, z.min(0))
+    """A number for each band: LEAST least values of the set under as many functions."""
+    least = np.full(BANDS * LEAST, np.iinfo(np.uint32).max, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for begin in range(0, len(short), 512):
+        least = np.minimum(least, (short[begin : begin + 512, None] * _TIMES + _PLUS).min(0))
     return [int(xxhash.xxh3_64_intdigest(least[k : k + LEAST].tobytes(), k)) - (1 << 63) for k in range(0, BANDS * LEAST, LEAST)]
 
 
 def _described(words: int):
-    kind = "struct<node bigint, fp bigint, bands array<bigint>, n bigint, sketch binary>"
-
-    @F.arrow_udf(kind)
+    @F.arrow_udf("struct<digest binary, fp bigint, bands array<bigint>, n bigint, sketch binary>")
     def described(texts: pa.Array) -> pa.Array:
-        node, fp, bands, n, sketch = [], [], [], [], []
-        for t in texts.to_pylist():
-            hashes = shingle_hashes(t or "", words)
-            node.append(xxhash.xxh3_64_intdigest(b" ".join((t or "").encode().lower().split())) - (1 << 63))
-            fp.append(fingerprint_of(np.unique(hashes)))  # as sets, like bands and resemblance
+        digest, fp, bands, n, sketch = [], [], [], [], []
+        for k in range(len(texts)):
+            text = texts[k].as_py() or ""
+            hashes = np.unique(shingle_hashes(text, words))  # as sets: fingerprints and bands like resemblance
+            digest.append(xxhash.xxh3_128_digest(b" ".join(text.encode().lower().split())))
+            fp.append(fingerprint_of(hashes))
             bands.append(_bands(hashes) if len(hashes) else [])
-            short = np.unique(hashes & np.uint64(0xFFFFFF)).astype(np.int64)
-            n.append(len(short))
-            sketch.append(_packed(short))
-        return pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], ["node", "fp", "bands", "n", "sketch"])
+            n.append(len(hashes))
+            sketch.append(_packed(hashes.view(np.int64)))
+        return pa.StructArray.from_arrays([pa.array(digest, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], ["digest", "fp", "bands", "n", "sketch"])
 
     return described
 
 
-def _leaders(node: np.ndarray, fp: np.ndarray, radius: int, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _leaders(fp: np.ndarray, radius: int, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, leader): each row that is near an earlier leader with the nearest one; the others lead."""
     lead = np.zeros(0, np.int64)
     for begin in range(0, len(fp), step):
@@ -78,80 +76,79 @@ def _leaders(node: np.ndarray, fp: np.ndarray, radius: int, step: int = 256) ->
         yield rows[hit], best[hit]
 
 
-def _bucket_pairs(node: np.ndarray, fp: np.ndarray, side: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes to look at: in small buckets all that are near, in large ones each with its nearest leader."""
+def _bucket_pairs(node: np.ndarray, fp: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes to look at first, one for a row at most: with its nearest earlier row in small buckets, its nearest leader in others."""
     cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[cuts, len(fp)])
-    small = (sizes <= SMALL) & (side[cuts] == 0)
+    small = sizes <= SMALL
     at = np.flatnonzero(np.repeat(small, sizes))
     a, b = near_ahead(fp[at], group[at], RADIUS)
-    yield node[at[a]], node[at[b]]
+    order = np.lexsort((a, np.bitwise_count(fp[at[a]] ^ fp[at[b]]), b))
+    first = order[np.r_[True, b[order][1:] != b[order][:-1]]] if len(order) else order
+    yield node[at[a[first]]], node[at[b[first]]]
     for cut, size in zip(cuts[~small].tolist(), sizes[~small].tolist(), strict=True):
         rows = slice(cut, cut + size)
-        if side[cut] == 0:
-            for a, b in _leaders(node[rows], fp[rows], RADIUS):
-                yield node[rows][a], node[rows][b]
-            continue
-        one, two = cut + np.flatnonzero(side[rows] == 1), cut + np.flatnonzero(side[rows] == 2)
-        mine = np.setdiff1d(np.arange(len(one)), np.concatenate([r for r, _ in _leaders(node[one], fp[one], RADIUS)] or [np.zeros(0, int)]))
-        for q, k in near_each(fp[two], fp[one[mine]], RADIUS) if len(two) and len(mine) else ():
-            order = np.lexsort((np.bitwise_count(fp[two[q]] ^ fp[one[mine[k]]]), q))
-            first = order[np.r_[True, q[order][1:] != q[order][:-1]]] if len(order) else order
-            yield node[two[q[first]]], node[one[mine[k[first]]]]
+        for a, b in _leaders(fp[rows], RADIUS):
+            yield node[rows][a], node[rows][b]
 
 
-def _candidates():
-    """mapInArrow over (band, bucket, side, node, fp) sorted by the first four: pairs (node, leader) to look at."""
-    schema = pa.schema([("node", pa.int64()), ("leader", pa.int64())])
+def _by_block(columns: int, made, schema: pa.Schema, at_once: int):
+    """mapInArrow over (place, ...) sorted by place: made(numbers, other column) is called with whole places, some at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, pa.Array | None]] = []
+        size, open_ = 0, None
 
-        def made(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            group = np.cumsum(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(0)])
-            for a, b in _bucket_pairs(rows[3], rows[4].view(np.uint64), rows[2], group):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=schema)
+        def joined() -> tuple[np.ndarray, pa.Array | None]:
+            return np.concatenate([h[0] for h in held], 1), pa.concat_arrays([h[1] for h in held]) if held[0][1] is not None else None
 
         for batch in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
-            if sum(h.shape[1] for h in held) >= CHUNK:
-                rows = np.concatenate(held, 1)
-                last = int(np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(0)])[-1])  # that bucket may go on
+            if not batch.num_rows:
+                continue
+            numbers = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:columns]])
+            held.append((numbers, batch.column(columns) if batch.num_columns > columns else None))
+            size += batch.num_rows
+            if size >= at_once and (open_ != numbers[0, -1] or numbers[0, 0] != numbers[0, -1]):
+                rows, other = joined()
+                last = int(np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])[-1])  # that place may go on
                 if last:
-                    yield from made(np.ascontiguousarray(rows[:, :last]))
-                held = [rows[:, last:].copy()]
-        if held and sum(h.shape[1] for h in held):
-            yield from made(np.concatenate(held, 1))
+                    yield from made(rows[:, :last], None if other is None else other[:last])
+                held = [(rows[:, last:].copy(), None if other is None else other[last:])]
+                size = rows.shape[1] - last
+            open_ = int(numbers[0, -1])
+        if held:
+            yield from made(*joined())
 
-    return run
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u, v in run(batches):
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v), pa.int64()), pa.array(np.minimum(u, v), pa.int64())], schema=schema)
 
+    return pairs
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """The rows of the buckets with more than one, with that number (rows)."""
-    sized = keyed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return keyed.join(sized, ["band", "bucket"])
 
+_LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-def _dealt(rows: DataFrame, parts: Column, *columns: str) -> DataFrame:
-    """(band, bucket, side, node, columns) in order of the first four; a bucket of several parts as pairs of blocks."""
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = rows.withColumn("parts", parts.cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low, high, one = F.least("own", "other"), F.greatest("own", "other"), F.col("parts") == 1
-    side = F.when(one, 0).when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    place = F.when(one, F.col("bucket")).otherwise(F.xxhash64("bucket", low, high))
-    dealt = dealt.select(F.col("band").cast("long").alias("band"), place.alias("bucket"), side.cast("long").alias("side"), "node", *columns)
-    return dealt.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "side", "node")
 
+def _candidates():
+    """mapInArrow over (place, node, fp), sorted: pairs (u, v), u > v, to look at first."""
 
-def _met(shared: DataFrame) -> DataFrame:
-    """Pairs of nodes whose fingerprints are near, from the buckets with more than one; very large ones as pairs of blocks."""
-    return _dealt(shared, F.ceil(F.col("rows") / LARGE), "fp").mapInArrow(_candidates(), "node long, leader long").distinct()
+    def made(rows: np.ndarray, _: None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield from _bucket_pairs(rows[1], rows[2].view(np.uint64), np.cumsum(np.r_[True, rows[0, 1:] != rows[0, :-1]]))
 
+    return _by_block(3, made, _LINK, 1 << 16)
 
-def _open_links(node: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float, marked: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links of a bucket between nodes of different roots that resemble each other: each pair is tried unless links join it already."""
-    label, size = root.copy(), np.array([len(s) for s in sets])
+
+def _open_links(node: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a block between nodes of different roots that resemble each other: each pair is tried unless links join it already.
+
+    side: rows of 1 meet those of 2, and rows of 0 meet all.
+    """
+    size = np.array([len(s) for s in sets])
+    ends = np.cumsum(size)
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(kinds), bool)
+    label, out = root.copy(), []
     for i in range(len(node) - 1):
         to = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
         if side[i]:
@@ -159,71 +156,124 @@ def _open_links(node: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list
         to = to[np.minimum(size[to], size[i]) / np.maximum(size[to], size[i]) >= similarity]  # none resembles more than that
         if not len(to):
             continue
-        marked[sets[i]] = True
-        both = np.add.reduceat(marked[np.concatenate([sets[j] for j in to])], np.r_[0, np.cumsum(size[to])[:-1]], dtype=np.int64)
-        marked[sets[i]] = False
+        own = flat[ends[i] - size[i] : ends[i]]
+        marked[own] = True
+        starts = np.cumsum(size[to]) - size[to]
+        at = np.arange(int(size[to].sum())) + np.repeat(ends[to] - size[to] - starts, size[to])
+        both = np.add.reduceat(marked[flat[at]], starts, dtype=np.int64)
+        marked[own] = False
         alike = to[both / (size[i] + size[to] - both) >= similarity]
-        for j in alike.tolist():
-            yield int(node[i]), int(node[j])
+        out += [(int(node[i]), int(node[j])) for j in alike.tolist()]
         label[np.isin(label, label[alike])] = label[i]
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
 
 
 def _compared(similarity: float):
-    """mapInArrow over (band, bucket, side, node, root, sketch) sorted by the first four: links (u, v), u > v, of texts alike."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    """mapInArrow over (place, side, node, root, sketch), sorted by place: links (u, v), u > v, of texts alike."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, list[bytes]]] = []
-        marked = np.zeros(1 << 24, bool)
+    def made(rows: np.ndarray, sketches: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cuts = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1], True]).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            order = a + np.lexsort((rows[2, a:b], rows[1, a:b]))
+            yield _open_links(rows[2, order], rows[3, order], rows[1, order], [_unpacked(sketches[k].as_py()) for k in order.tolist()], similarity)
 
-        def made(rows: np.ndarray, sketches: list[bytes]) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(0), True]).tolist()
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                found = np.array([*_open_links(rows[3, a:b], rows[4, a:b], rows[2, a:b], [_unpacked(s) for s in sketches[a:b]], similarity, marked)], np.int64).reshape(-1, 2)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found.max(1)), pa.array(found.min(1))], schema=schema)
+    return _by_block(4, made, _LINK, 1 << 10)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append((np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]]), batch.column(5).to_pylist()))
-            if (held[-1][0][:2, 0] != held[0][0][:2, 0]).any() or (held[-1][0][:2, -1] != held[0][0][:2, 0]).any():
-                rows, sketches = np.concatenate([r for r, _ in held], 1), [s for _, k in held for s in k]
-                last = int(np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(0)])[-1])  # that bucket may go on
-                yield from made(rows[:, :last], sketches[:last])
-                held = [(rows[:, last:].copy(), sketches[last:])]
-        if held:
-            yield from made(np.concatenate([r for r, _ in held], 1), [s for _, k in held for s in k])
 
-    return run
+def _first_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes whose fingerprints are near, from the buckets with more than one; large buckets as blocks.
+
+    The blocks of a bucket don't meet here: each band deals nodes out in another way, so that blocks of one band are joined
+    over those of the others. What isn't is left to _left.
+    """
+    block = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("rows") / ROWS))
+    dealt = shared.select(F.when(F.col("rows") <= ROWS, F.col("bucket")).otherwise(F.xxhash64("bucket", block)).alias("place"), "node", "fp")
+    return dealt.repartition("place").sortWithinPartitions("place", "node").mapInArrow(_candidates(), "u long, v long").distinct()
 
 
-def _left(shared: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """(u, v), u > v: links between texts alike that meet in a bucket and have different roots, whatever their fingerprints."""
-    rooted = shared.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("band", "bucket").agg(F.sum("n").alias("shingles"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_ = written(rooted.join(several.drop("low", "high"), ["band", "bucket"]), "open")
-    own = sketches.join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
-    parts = F.greatest(F.ceil(F.col("rows") / ROWS), F.ceil(F.col("shingles") / SHINGLES))
-    return written(_dealt(open_.join(own, "node"), parts, "root", "sketch").mapInArrow(_compared(similarity), "u long, v long").distinct(), "left")
+def _counted(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _resemblance():
+def _alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs whose sets resemble each other. A node's sketch is sent to several tasks where very many pairs have it."""
+    n = pairs.count()
+    sides, made = pairs, []
+    for column, sketch in (("u", "a"), ("v", "b")):
+        own = written(sketches.join(_counted(pairs, column).withColumnRenamed(column, "node"), "node").select(F.col("node").alias(column), F.col("sketch").alias(sketch), "rows"), "sketches")
+        made.append(own)
+        sides = spread_join(sides, own, [column], "rows", n, by="v" if column == "u" else "u").drop("rows")
+
     @F.arrow_udf("double")
     def resemblance(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            p, q = _unpacked(x), _unpacked(y)
+        for k in range(len(a)):
+            p, q = _unpacked(a[k].as_py()), _unpacked(b[k].as_py())
             both = len(np.intersect1d(p, q, assume_unique=True))
             out.append(both / max(1, len(p) + len(q) - both))
         return pa.array(out, pa.float64())
 
-    return resemblance
+    found = written(sides.where(resemblance(F.col("a"), F.col("b")) >= similarity).select("u", "v"), "alike")
+    dropped(*made)
+    return found
+
+
+def _left(shared: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(u, v), u > v: links between texts alike that meet in a bucket and have different roots, whatever their fingerprints.
+
+    A bucket's rows of its commonest root are one side, which needn't be compared with itself; the others are the other side.
+    Both are dealt out in blocks: a block of the others meets each block of the commonest root and of the others. Of buckets
+    with the same nodes (by number, sum and exclusive or of their hashes) one is looked at.
+    """
+    rooted = written(shared.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    by_root = rooted.groupBy("place", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(5))).alias("x"))
+    several = by_root.groupBy("place").agg(F.sum("k").alias("rows"), F.sum("s").alias("shingles"), F.max(F.struct("k", "s", "root")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("h").alias("h"), F.bit_xor("x").alias("x")).where("roots > 1").dropDuplicates(["rows", "h", "x"])
+    blocks = lambda k, s: F.greatest(F.ceil(k / ROWS), F.ceil(s / SHINGLES), F.lit(1)).cast("int")
+    sized = written(several.select("place", "rows", F.col("most.root").alias("main"), blocks(F.col("most.k"), F.col("most.s")).alias("mains"), blocks(F.col("rows") - F.col("most.k"), F.col("shingles") - F.col("most.s")).alias("others")), "several")
+    total = sized.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    open_ = spread_join(rooted, sized, ["place"], "rows", total, by="node")
+    is_main = F.col("root") == F.col("main")
+    own = F.pmod(F.xxhash64("node", F.lit(11)), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    # blocks -1, -2, ... are of the commonest root, 0, 1, ... of the others; what meets is the pair of their numbers
+    other = F.when(is_main, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("mains"), F.col("others") - 1))
+    small = (F.col("mains") == 1) & (F.col("others") == 1)
+    met = open_.withColumn("own", F.when(is_main, -1 - own).otherwise(own)).withColumn("other", F.explode(F.when(small, F.array(F.lit(-1))).otherwise(other)))
+    side = F.when(small | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    place = F.when(small, F.col("place")).otherwise(F.xxhash64("place", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = written(met.select(place.alias("place"), side.cast("long").alias("side"), "node", "root"), "open")
+    counted = written(sketches.join(_counted(dealt, "node"), "node"), "sketches")
+    full = spread_join(dealt, counted, ["node"], "rows", dealt.count(), by="place").select("place", "side", "node", "root", "sketch")
+    found = written(full.repartition("place").sortWithinPartitions("place").mapInArrow(_compared(similarity), "u long, v long").distinct(), "left")
+    dropped(rooted, sized, dealt, counted)
+    return found
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """A number for an id and its text: equal rows have equal ones."""
-    return F.xxhash64(id_col, text_col)
+    """128 bits for an id and its text: equal rows have equal ones."""
+    return F.struct(F.xxhash64(id_col, text_col).alias("a"), F.xxhash64(text_col, id_col, F.lit(1)).alias("b"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """rows (key, id, digest) and classes (digest, rows, least, first, root): texts of the same words, and their groups."""
+    rows = written(docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), _described(words)(F.col(text_col)).alias("d")).select("key", "id", "d.*"), "described")
+    grouped = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"), F.min(F.struct("fp", "bands", "n")).alias("d"))
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "rows", "least", F.col("first.none").alias("none"), F.col("first.key").alias("first"), "d.*"), "classes")
+    keyed = written(classes.select("node", "fp", "n", F.posexplode("bands").alias("band", "bucket")).withColumn("bucket", F.xxhash64("bucket", "band")), "bands")
+    sized = _counted(keyed, "bucket").where("rows > 1")
+    total = classes.count() * BANDS
+    shared = written(spread_join(keyed, sized, ["bucket"], "rows", total, by="node"), "shared")
+    pairs = written(_first_pairs(shared), "pairs")
+    needed = written(classes.join(shared.select("node").distinct(), "node", "left_semi").select("digest", "node"), "needed")
+    sketches = written(rows.select("digest", "sketch").join(needed, "digest").groupBy("node").agg(F.first("sketch").alias("sketch")), "sketch")
+    alike = _alike(pairs, sketches, similarity)
+    roots = components(alike)
+    left = _left(shared.select(F.col("bucket").alias("place"), "node", "n"), roots, sketches, similarity)
+    if not left.isEmpty():
+        roots = components(roots.unionByName(left))
+    out = written(classes.drop("fp", "bands", "n").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    dropped(keyed, shared, pairs, needed, sketches, classes, alike, left)
+    return rows.select("key", "id", "digest"), out
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -232,41 +282,28 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents of the same words are copies; of the others, those go together that share `similarity` of their shingles (as
     sets, A-Z in lower case), directly or over others. Texts without words (null, empty) are copies of each other. Texts meet
-    in buckets of equal bands of least hashes. There the likeliest pairs by fingerprint are looked at first (in buckets of up
-    to SMALL all that are near, in larger ones each text with its nearest leader), so that groups come together without all
-    their pairs; then, whatever the fingerprints, all pairs of a bucket that aren't in one group by then. Null ids come last.
+    in buckets of equal bands of least hashes. There the likeliest pair of each text by fingerprint is looked at first, so that
+    groups come together without all their pairs; then, whatever the fingerprints and however large the bucket, all pairs that
+    aren't in one group by then. Null ids come last. Copies, groups and buckets of any size are dealt out over tasks.
     """
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), _described(words)(F.col(text_col)).alias("d")).select("key", "id", "d.*")
-    rows = written(rows, "described")
-    classes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("fp", "bands", "n")).alias("d")).select("node", "least", "d.*")
-    keyed = written(classes.select("node", "fp", "n", F.posexplode("bands").alias("band", "bucket")), "bands")
-    shared = written(_shared(keyed), "shared")
-    sketches = rows.select("node", "sketch")
-    pairs = written(_met(shared), "pairs")
-    mine = pairs.select("node").union(pairs.select(F.col("leader").alias("node"))).distinct()
-    needed = sketches.join(mine, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
-    sides = pairs.join(needed, "node").withColumnRenamed("sketch", "a").join(needed.select(F.col("node").alias("leader"), F.col("sketch").alias("b")), "leader")
-    alike = sides.where(_resemblance()(F.col("a"), F.col("b")) >= similarity)
-    roots = components(alike.select(F.col("node").alias("u"), F.col("leader").alias("v")))
-    left = _left(shared, roots, sketches, similarity)
-    if not left.isEmpty():
-        roots = components(roots.unionByName(left))
-    placed = classes.select("node", "least").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = placed.join(placed.groupBy("root").agg(F.min("least").alias("group_id")), "root").select("node", "root", "group_id")
-    found = rows.groupBy("key", "id", "node").agg(F.count(F.lit(1)).alias("times")).join(groups, "node")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("f")).select("root", F.col("f.key").alias("first"))
-    return found.join(first, "root").select("key", "id", "group_id", (F.col("key") == F.col("first")).alias("keeps"), "times")
+    rows, classes = _classes(docs, id_col, text_col, words, similarity)
+    groups = written(classes.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min("least").alias("group_id"), F.min(F.struct("none", "least", "first")).alias("f")), "groups")
+    placed = written(spread_join(classes.withColumnRenamed("rows", "copies"), groups, ["root"], "rows", classes.count(), by="node").select("digest", F.col("copies").alias("rows"), "group_id", F.col("f.first").alias("stays")), "placed")
+    found = spread_join(rows, placed, ["digest"], "rows", rows.count(), by="key")
+    return found.groupBy("key").agg(F.first("id").alias("id"), F.first("group_id").alias("group_id"), F.first(F.col("key") == F.col("stays")).alias("keeps"), F.count(F.lit(1)).alias("times"))
 
 
-#: Up to so many keys are sent to every executor (8 bytes each); more are joined by a shuffle.
+#: Up to so many keys are sent to every executor (16 bytes each); more are joined by a shuffle.
 KEYS = 500_000
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, that near_copies keeps: one of each group. Of equal rows one stays."""
-    found = written(near_copies(docs, id_col, text_col, words, similarity), "groups")
-    gone = found.where(~F.col("keeps")).select(F.col("key").alias("__gone"))
-    n, repeated = found.agg(F.count_if(~F.col("keeps")), F.max("times")).first()
+    rows, classes = _classes(docs, id_col, text_col, words, similarity)
+    kept = classes.groupBy("root").agg(F.min(F.struct("none", "least", "first")).alias("f")).select(F.col("f.first").alias("key"))
+    times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    gone = written(times.join(kept, "key", "left_anti").select(F.col("key").alias("__gone")), "gone")
+    n, repeated = gone.count(), not times.where("times > 1").isEmpty()
     keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    kept = keyed.join(F.broadcast(gone) if n <= KEYS else gone, F.col("__key") == F.col("__gone"), "left_anti")
-    return (kept.dropDuplicates(["__key"]) if (repeated or 1) > 1 else kept).drop("__key")
+    out = keyed.join(F.broadcast(gone) if n <= KEYS else gone, F.col("__key") == F.col("__gone"), "left_anti")
+    return (out.dropDuplicates(["__key"]) if repeated else out).drop("__key")

@@ -199,7 +199,7 @@ def test_simhash_kernels():
         assert {p for a, b in simhash.near_each(x, x, radius) for p in zip(a.tolist(), b.tolist())} == want
         a, b = simhash.near_ahead(x, group, radius)
         assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i, j in want if i < j and group[i] == group[j]}
-        rows = [(r, b) for a, b in nearcopies._leaders(x, x, radius, 64) for r, b in zip(a.tolist(), b.tolist())]
+        rows = [(r, b) for a, b in nearcopies._leaders(x, radius, 64) for r, b in zip(a.tolist(), b.tolist())]
         leaders = {*range(len(x))} - {r for r, _ in rows}
         assert all(distance[r, b] <= radius and b in leaders and b < r for r, b in rows)
         assert all(distance[a, b] > radius for a in leaders for b in leaders if a != b)
@@ -229,10 +229,9 @@ def test_components(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("small,large", [(48, 1 << 16), (2, 3)])
-def test_near_copies(spark, docs, corpus, monkeypatch, small, large):
-    monkeypatch.setattr(nearcopies, "SMALL", small)
-    monkeypatch.setattr(nearcopies, "LARGE", large)
+@pytest.mark.parametrize("rows", [1 << 12, 3])
+def test_near_copies(spark, docs, corpus, monkeypatch, rows):
+    monkeypatch.setattr(nearcopies, "ROWS", rows)
     got = nearcopies.near_copies(docs).collect()
     shingles = {}
     for d, t in corpus:
@@ -275,6 +274,23 @@ def test_near_copies_star(spark, monkeypatch, rows):
     assert len(set(root.values())) == 2 and got == root
 
 
+def test_near_copies_large_group(spark):
+    """Thousands of near copies of one text, in buckets far over SMALL, and one exact copy many times, among unlike texts."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(100)]
+    texts = []
+    for _ in range(3400):
+        edited = list(base)
+        edited[rng.randrange(100)] = word()
+        texts.append(" ".join(edited))
+    texts += [" ".join(word() for _ in range(60)) for _ in range(500)] + [texts[0]] * 2000
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(6)
+    got = {r.id: (r.group_id, r.keeps, r.times) for r in nearcopies.near_copies(frame).collect()}
+    assert got == {i: (0 if i < 3400 or i >= 3900 else i, i == 0 or 3400 <= i < 3900, 1) for i in range(len(texts))}
+    assert nearcopies.one_of_each(frame).count() == 501
+
+
 def test_near_copies_repeated_line(spark):
     """The same shingles, a line once more or many times more: alike, however far apart fingerprints over all shingles are."""
     rng = random.Random(21)
