@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import utf8_arrays
+from .common import small_batches, spread_join, utf8_arrays, written
 
 #: Symbols that are hashed together (their places fit into PLACE), fragments and anchors that a task holds before it sends.
 CHUNK, PLACE, HELD = 1 << 17, np.uint64((1 << 18) - 1), 1_500_000
@@ -222,8 +222,8 @@ def _ask(scheme: Scheme, keys: np.ndarray):
                 times = np.diff(np.r_[cuts, len(anchor)])
                 alone = times == 1
                 doc = np.where(alone, owner[number[cuts]], 0)
-                name = np.where(alone, (text[number[cuts], 1] & np.uint64(0xFFFFFFFF)).astype(np.int64), 0)
-                yield from _dealt(keys, _bucket(anchor[cuts], parts), ASKED, doc, a=(anchor[cuts], _raw), b=(doc, _packed), c=(name.astype(np.uint32), _raw), d=(times, _packed))
+                name = np.where(alone, text[number[cuts], 1], np.uint64(0))
+                yield from _dealt(keys, _bucket(anchor[cuts], parts), ASKED, doc, a=(anchor[cuts], _raw), b=(doc, _packed), c=(name, _raw), d=(times, _packed))
                 again = np.repeat(~alone, times)
                 doc = owner[number[again]]
                 yield from _dealt(keys, _bucket(doc, parts), ANSWERS, doc, a=(doc, _packed), b=(anchor[again].astype(np.uint32), _raw))
@@ -275,7 +275,7 @@ def _answer(keys: np.ndarray):
             for row in _columns(batch):
                 a, b, c, d = row[3:7]
                 if row[1] == ASKED:
-                    asked.append((np.frombuffer(a, np.uint64), _unpacked(b), np.frombuffer(c, np.uint32), _unpacked(d)))
+                    asked.append((np.frombuffer(a, np.uint64), _unpacked(b), np.frombuffer(c, np.uint64), _unpacked(d)))
                 elif row[1] == TEXTS:
                     texts.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), _unpacked(c)))
                 else:
@@ -309,7 +309,7 @@ def _answer(keys: np.ndarray):
 
 
 def _document(parts_keys: np.ndarray):
-    """(doc, id, text) -> a row for the document's partition."""
+    """(doc, text) -> a row for the document's partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=1)
@@ -319,8 +319,7 @@ def _document(parts_keys: np.ndarray):
             for begin in range(0, len(doc), 1000):
                 some = range(begin, min(begin + 1000, len(doc)))
                 texts = [compressor.compress(flat[starts[k] : starts[k + 1]]) if starts[k] < starts[k + 1] else b"" for k in some]
-                ids = [b"" if x is None else int(x).to_bytes(8, "little", signed=True) for x in batch.column(2)[begin : begin + 1000].to_pylist()]
-                yield _rows(keys_of(parts_keys, doc[begin : begin + 1000]), DOCUMENT, doc[begin : begin + 1000], a=texts, b=ids)
+                yield _rows(keys_of(parts_keys, doc[begin : begin + 1000]), DOCUMENT, doc[begin : begin + 1000], a=texts)
 
     return run
 
@@ -508,7 +507,7 @@ def _unlike(scheme: Scheme, rows: list[int], content: list[bytes], anchor: np.nd
 
 
 def _finish(scheme: Scheme, with_text: bool):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         removed: list[tuple[np.ndarray, ...]] = []
@@ -541,7 +540,7 @@ def _finish(scheme: Scheme, with_text: bool):
                 count = int(gone.sum())
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if count else 0
                 kept = scheme.kept(data, symbols, gone)
-                out.append((int.from_bytes(row[4], "little", signed=True) if row[4] else None, n, count, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                out.append((row[2], n, count, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -555,27 +554,52 @@ def partition_keys(spark: SparkSession, parts: int) -> np.ndarray:
     return np.array([found[p] for p in sorted(found)], np.int64)
 
 
-def document_key(id_: Column, text: Column) -> Column:
-    """The id as a long; for a null id a number above other ids that depends on the text."""
-    return F.coalesce(id_.cast("long"), F.lit((1 << 63) - 2) - F.xxhash64(text).bitwiseAND(F.lit((1 << 50) - 1)))
+#: Bytes of text for each partition at most: what its tasks hold in memory follows from that.
+PARTITION_BYTES = 1 << 27
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, DataFrame | None]:
+    """(doc, text) with numbers in order of the ids, the bytes of all texts, and (doc, id) unless doc is the id itself.
+
+    Integer ids that each have one text are numbers already. Else the distinct ids and texts are sorted over all partitions
+    and numbered there.
+    """
+    id_, text = F.col(id_col), F.col(text_col)
+    rows = docs.select(id_.alias("id"), text.cast("binary").alias("text"), F.struct(F.xxhash64(id_, text).alias("a"), F.xxhash64(text, id_, F.lit(1)).alias("b")).alias("key"))
+    by_id = rows.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes"))
+    several, size = by_id.agg(F.count_if((F.col("low") != F.col("high")) | F.col("id").isNull()), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    if not several and docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return rows.select(F.col("id").cast("long").alias("doc"), "text"), size, None
+    distinct = rows.groupBy("key").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("rows")).orderBy(F.col("id").asc_nulls_last(), "key")
+    numbers = written(distinct.select(F.monotonically_increasing_id().alias("doc"), "key", "id", "rows"), "numbers")
+    total = numbers.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    placed = spread_join(rows.select("key", "text").withColumn("at", F.monotonically_increasing_id()), numbers, ["key"], "rows", total, by="at")
+    return written(placed.select("doc", "text"), "texts"), size, numbers.select("doc", "id")
 
 
 def remove_repeats(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per row of docs: id, n (symbols), n_removed, n_spans (maximal removed runs), kept_sha256, kept (null without with_text).
 
     Removed is each symbol inside a window that also starts earlier: in a document of a smaller id, or in the same one before.
-    Windows are judged on the input. Null texts have no symbols. Rows that share an id are the same document (repeated rows
-    have equal results, none is earlier than the other); rows whose id is null come after all others, and equal texts among
-    them are the same document. Ids must be integers.
+    Windows are judged on the input. Null texts have no symbols. Rows that share an id are one document: its distinct texts
+    stand one after the other, in order of a hash, and no window crosses them; repeated rows (same id and text) are one text and
+    have equal results. Ids can be of any type that has an order; null ids come after all others. Lost executors cost the step
+    they are in: what is asked, answered and judged is written to the shared folder, and each task gets its rows in a total
+    order, so that a task that runs again does the same.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(spark)
+    rows, size, ids = _numbered(docs, id_col, text_col)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
     keys = partition_keys(spark, parts)
-    rows = docs.select(document_key(F.col(id_col), F.col(text_col)).alias("doc"), F.col(text_col).cast("binary").alias("text"), F.col(id_col).cast("long").alias("id"))
-    dealt = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("kind")
+    dealt = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("kind", "doc")
     texts = rows.mapInArrow(_document(keys), ROW)
-    asked = rows.select("doc", "text").mapInArrow(_ask(scheme, keys), ROW)
-    answered = dealt(asked).mapInArrow(_answer(keys), ROW)
+    asked = rows.mapInArrow(_ask(scheme, keys), ROW)
+    answered = written(dealt(asked).mapInArrow(_answer(keys), ROW), "answered")
     fragments = dealt(answered.unionByName(texts)).mapInArrow(_fragment(scheme, keys), ROW)
-    judged = dealt(fragments).mapInArrow(_judge(scheme, keys), ROW)
-    return dealt(judged.unionByName(texts)).mapInArrow(_finish(scheme, with_text), "id long, n long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    judged = written(dealt(fragments).mapInArrow(_judge(scheme, keys), ROW), "judged")
+    found = dealt(judged.unionByName(texts)).mapInArrow(_finish(scheme, with_text), "doc long, n long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    if ids is None:
+        return found.withColumnRenamed("doc", "id").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
+    counts = ids.join(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("rows")), "doc")
+    return spread_join(found.withColumn("at", F.monotonically_increasing_id()), counts, ["doc"], "rows", rows.count(), by="at").select("id", *found.columns[1:])

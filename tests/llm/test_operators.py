@@ -378,6 +378,16 @@ def test_remove_repeats(docs, corpus, monkeypatch, scheme, hot):
     assert repeats.remove_repeats(docs.limit(0), scheme).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_remove_repeats_of_one_id(spark, corpus, kind):
+    """Rows of one id with other texts: windows that start earlier in another document go, whichever row they are in."""
+    line = lambda a: " ".join(f"{a}{k}" for k in range(40))
+    rows = [(1, line("w")), (2, line("v")), (2, line("w") + " tail"), (3, line("w")), (3, line("w")), (None, line("v")), (None, line("x"))]
+    frame = spark.createDataFrame([(None if d is None else str(d) if kind == "string" else d, t) for d, t in rows], f"doc_id {kind}, text string")
+    got = Counter((None if r.id is None else int(r.id), r.n, r.n_removed) for r in repeats.remove_repeats(frame, substrings.Words(20)).collect())
+    assert got == Counter([(1, 40, 0), (2, 40, 0), (2, 41, 40), (3, 40, 40), (3, 40, 40), (None, 40, 40), (None, 40, 0)])
+
+
 def test_pieces_of_long_texts(monkeypatch):
     """Texts over several pieces give the same runs as in one piece."""
     rng = np.random.default_rng(6)
