@@ -337,8 +337,9 @@ def test_decontamination(spark, docs, corpus, monkeypatch):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
-@pytest.mark.parametrize("rows,queries_", [(8192, 2048), (40, 3)])
-def test_top_k(spark, monkeypatch, rows, queries_):
+@pytest.mark.parametrize("rows,queries_,blocks", [(8192, 2048, 20_000), (40, 3, 20_000), (40, 3, 0)])
+def test_top_k(spark, monkeypatch, rows, queries_, blocks):
+    monkeypatch.setattr(topk, "BLOCKS", blocks)
     monkeypatch.setattr(topk, "ROWS", rows)
     monkeypatch.setattr(topk, "QUERIES", queries_)
     rng = random.Random(4)
@@ -346,15 +347,28 @@ def test_top_k(spark, monkeypatch, rows, queries_):
     vectors += [(i, [0.5] * 6) for i in range(200, 260)] + [(300, None), (301, [1.0, None]), (302, [float("nan")]), (303, [float("inf")]), (304, []), (305, [2.0]), (None, [1.0]), vectors[7]]
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
     got = [tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 20 == 0, 5).collect()]
-    good = {i: [int(np.floor(1024 * x)) for x in v] + [0] * (6 - len(v)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    good = [(i, [int(np.floor(1024 * x)) for x in v] + [0] * (6 - len(v))) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in good if i % 20 == 0):
-        scores = sorted(((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q))[:5]
+    for q, own in (r for r in good if r[0] % 20 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in good if i != q)[:5]
         want += [(q, k, i, -s) for k, (s, i) in enumerate(scores, 1)]
     assert sorted(got) == sorted(want)
     assert topk.top_k(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_large_components(spark):
+    """Products beyond doubles and beyond 64 bits: exact, or an error if such a score would be returned."""
+    vectors = [(0, [3e9, 1.0]), (1, [2e6 + 0.5, 7.0]), (2, [2e6, 8.0]), (3, [-1e300, 1.0])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(frame.where("vec_id < 3"), F.col("vec_id") == 0, 2).collect()]
+    ints = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors}
+    score = lambda a, b: sum(x * y for x, y in zip(ints[a], ints[b]))
+    assert got == [(0, 1, 1, score(0, 1)), (0, 2, 2, score(0, 2))]
+    assert [r.vec_id for r in topk.top_k(frame, F.col("vec_id") == 0, 2).collect()] == [1, 2]
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(frame, F.col("vec_id") == 0, 3).collect()
+
+
 def brute_repeats(rows, scheme):
     first, out = {}, []
     for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
