@@ -18,6 +18,9 @@ ROWS, QUERIES, PIVOTS, SAMPLE, STEP = 8192, 2048, 24, 4096, 64
 #: Up to so many blocks their distances to the pivots are sent to every task, to leave out blocks; beyond, queries meet all blocks.
 BLOCKS = 20_000
 
+#: Stands for scores below 64 bits.
+LOWEST = -(1 << 63)
+
 _FOUND = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 _FOUND_SQL = "row long, query_id long, vec_id long, score long"
 
@@ -86,8 +89,10 @@ def search(ids: np.ndarray, x: np.ndarray, table: np.ndarray, query_ids: np.ndar
             if len(score) == k:
                 left = left[bound[left] >= float(score[-1])]
             step *= 4
-        if len(at) and (top >= 2**63 and not all(-(2**63) <= s < 2**63 for s in score)):
-            raise ValueError(f"a score of query {own} doesn't fit into 64 bits")
+        if top >= 2**63:
+            if any(s >= 2**63 for s in score):
+                raise ValueError(f"a score of query {own} doesn't fit into 64 bits")
+            score = np.maximum(score, LOWEST)  # is an error only if it stays among the best
         yield row, ids[at], score.astype(np.int64)
 
 
@@ -223,4 +228,6 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     found = written(first.unionByName(rest), "found")
     dropped(placed, first, asked)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", "vec_id", "score").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.select("query_id", "vec_id", "score").withColumn("rank", rank).where(F.col("rank") <= k)
+    score = F.when(F.col("score") == LOWEST, F.raise_error(F.lit("a score doesn't fit into 64 bits")).cast("long")).otherwise(F.col("score"))
+    return best.select("query_id", "rank", "vec_id", score.alias("score"))
