@@ -358,7 +358,7 @@ def test_top_k(spark, monkeypatch, rows, queries_, blocks):
 
 def test_top_k_large_components(spark):
     """Products beyond doubles and beyond 64 bits: exact, or an error if such a score would be returned."""
-    vectors = [(0, [3e9, 1.0]), (1, [2e6 + 0.5, 7.0]), (2, [2e6, 8.0]), (3, [-1e300, 1.0])]
+    vectors = [(0, [3e6 + 0.25, 1.0]), (1, [2e6 + 0.5, 7.0]), (2, [2e6, 8.0]), (3, [-1e300, 1.0])]
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in topk.top_k(frame.where("vec_id < 3"), F.col("vec_id") == 0, 2).collect()]
     ints = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors}
