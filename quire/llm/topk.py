@@ -74,7 +74,7 @@ def search(ids: np.ndarray, x: np.ndarray, table: np.ndarray, query_ids: np.ndar
         other = ids != own
         floor = -np.inf if least is None else float(least[row]) - 1
         left = np.flatnonzero(other & (bound >= floor))
-        score, at = np.zeros(0, np.int64 if top < 2**63 else object), np.zeros(0, np.int64)
+        score, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
         step = max(STEP, k)
         while len(left):
             if len(left) > step:  # the highest bounds; of the others, those that may still matter
@@ -82,18 +82,21 @@ def search(ids: np.ndarray, x: np.ndarray, table: np.ndarray, query_ids: np.ndar
                 some, left = left[cut[:step]], left[cut[step:]]
             else:
                 some, left = left, left[:0]
-            new = np.rint(xf[some] @ qf[row]).astype(np.int64) if exact else x[some] @ q[row]
+            if exact:
+                new = np.rint(xf[some] @ qf[row]).astype(np.int64)
+            else:
+                new = x[some] @ q[row]
+                if top >= 2**63:
+                    if any(s >= 2**63 for s in new):
+                        raise ValueError(f"a score of query {own} doesn't fit into 64 bits")
+                    new = np.maximum(new, LOWEST).astype(np.int64)  # an error only if it stays among the best
             score, at = np.concatenate([score, new]), np.concatenate([at, some])
-            best = np.lexsort((ids[at], -score))[:k] if top < 2**63 else np.array(sorted(range(len(at)), key=lambda i: (-score[i], ids[at[i]]))[:k], np.int64)
+            best = np.lexsort((ids[at], ~score))[:k]
             score, at = score[best], at[best]
             if len(score) == k:
                 left = left[bound[left] >= float(score[-1])]
             step *= 4
-        if top >= 2**63:
-            if any(s >= 2**63 for s in score):
-                raise ValueError(f"a score of query {own} doesn't fit into 64 bits")
-            score = np.maximum(score, LOWEST)  # is an error only if it stays among the best
-        yield row, ids[at], score.astype(np.int64)
+        yield row, ids[at], score
 
 
 def _top(x: np.ndarray) -> int:
