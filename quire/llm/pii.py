@@ -9,12 +9,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit
 
 KINDS = ("email", "ip", "card", "phone")
+#: With what only the method finds: tokens, keys and passwords.
+ALL = (*KINDS, "secret")
+#: Pieces of documents that the trees learn context from, and their characters.
+PIECES, PIECE = 4000, 240
 Span = tuple[int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -62,19 +66,24 @@ def base(text: str) -> dict[str, list[Span]]:
 _AT = r"(?:\s?[(\[{]\s?at\s?[)\]}]\s?|\s@\s?|@\s)"
 _DOT = r"(?:\s?[(\[{]\s?dot\s?[)\]}]\s?|\.|\sdot\s|\s\.\s)"
 _GENERATORS: dict[str, re.Pattern[str]] = {
-    "email": re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{2,63}}){{1,4}}", re.I),
+    "email": re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]{{2,}}+)+", re.I),
     "ip": re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}|(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ._/-]{1,2}[0-9]{3,6}){2,4}(?![0-9])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+(?:\.[A-Za-z0-9_-]{10,}+)*=*"),
     "phone": re.compile(r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ ./-]{1,2}(?:\([0-9]{2,5}\)|[0-9]{2,8})){1,5}(?![0-9A-Za-z])"),
 }
+#: What is given to a name of a secret, whatever it looks like: overlaps the other generator's spans.
+_ASSIGNED = re.compile(r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth|bearer|credential)s?[\x22']?\s{0,3}(?:[=:]|:=|is)\s{0,3}[\x22']?([^\s\x22',;<>]{6,})")
+_KEYED = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential", re.I)
 _MARK = re.compile(r"[(\[{]\s?at\s?[)\]}]|\s@|@\s", re.I)
 _HINTS = {
     "email": re.compile(r"mail|write|contact|kontakt|correo|schreib|écri", re.I),
     "ip": re.compile(r"\bip\b|host|server|addr|direcci|adresse|v6", re.I),
     "card": re.compile(r"card|visa|master|carte|karte|tarjeta|credit|kredit|pay", re.I),
+    "secret": re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential|clave|contrase|schl.ssel|kennwort|jeton|mot de passe", re.I),
     "phone": re.compile(r"tel|phone|call|fax|mobil|handy|ruf|llam|appel|dial|sms|whatsapp", re.I),
 }
-_AGAINST = re.compile(r"order|version|isbn|date|datum|fecha|\bno\b|\bnr\b|\bid\b|ref|page|seite|invoice|case|score|price|total|ratio|range|serial|build", re.I)
+_AGAINST = re.compile(r"order|version|isbn|date|datum|fecha|\bno\b|\bnr\b|\bid\b|ref|page|seite|invoice|case|score|price|total|ratio|range|serial|build|commit|sha|md5|checksum|hash|uuid|path|url|https?:", re.I)
 
 
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
@@ -83,17 +92,26 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     for kind in kinds:
         for m in _GENERATORS[kind].finditer(text):
             yield kind, m.start(), m.end()
+    if any(len(w) >= 16 and not w.isalpha() for w in text.split()):
+        for m in _GENERATORS["secret"].finditer(text):
+            if not m[0].isalpha():
+                yield "secret", m.start(), m.end()
+    if _KEYED.search(text):
+        for m in _ASSIGNED.finditer(text):
+            yield "secret", *m.span(1)
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Numbers on a candidate's format and on the 32 characters before it."""
     span, before = text[start:end], text[max(0, start - 32) : start]
+    times = np.unique(np.frombuffer(span.encode("utf-32-le"), np.uint32), return_counts=True)[1] / len(span)
+    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:]))
     digits = _NOT_DIGIT.sub("", span)
     groups = [len(g) for g in re.findall(r"[0-9A-Fa-f]+" if kind == "ip" else r"[0-9]+", span)]
     separators = re.sub(r"[0-9A-Za-z]", "", span)
     year = bool(re.match(r"(?:19|20)[0-9]{2}$", re.findall(r"[0-9]+", span)[0]) if digits else False) or bool(re.search(r"(?:19|20)[0-9]{2}$", span)) and len(digits) <= 8
     return [
-        KINDS.index(kind),
+        ALL.index(kind),
         len(span),
         len(digits),
         len(groups),
@@ -110,11 +128,29 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(bool(_AGAINST.search(before))),
         float(len(set(digits))),
         float(span[:1] == "0"),
+        float(-(times * np.log2(times)).sum()),
+        changes / len(span),
+        sum(c in "abcdefABCDEF0123456789" for c in span) / len(span),
+        sum(c.isupper() for c in span) / len(span),
+        sum(c in "-_/+." for c in span) / len(span),
+        float(text[start - 1 : start] in ("'", '"') and text[end : end + 1] in ("'", '"')) if start else 0.0,
+        float(bool(re.search(r"[=:][\s\x22']*$", before))),
     ]
 
 
-def examples(count: int = 4000, seed: int = 11) -> list[tuple[str, bool]]:
-    """Made-up lines with one candidate each, half of them personal data: there are no labels for it in the corpus."""
+def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", count: int = PIECES) -> list[str]:
+    """Pieces of so many documents, those first by the hash of id and text, each from a place of that hash: bounded, for train()."""
+    text = F.col(text_col)
+    keyed = docs.where(F.length(text) > 0).select(F.xxhash64(id_col, text_col).alias("h"), text.alias("t"))
+    cut = F.substring("t", F.pmod(F.col("h"), F.length("t")).cast("int") + 1, F.lit(PIECE))
+    return [r.p for r in keyed.select("h", cut.alias("p")).orderBy("h", "p").limit(count).collect()]
+
+
+def examples(count: int = 4000, seed: int = 11, carriers: list[str] | None = None) -> list[tuple[str, bool]]:
+    """Lines with one made-up span each, half of them personal data: there are no labels for it in the corpus.
+
+    Each stands between words of a carrier, a piece of a real document; without carriers between made-up words.
+    """
     r = random.Random(seed)
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     h = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
@@ -124,6 +160,13 @@ def examples(count: int = 4000, seed: int = 11) -> list[tuple[str, bool]]:
         stem = d(n - 1)
         return next(stem + c for c in "0123456789" if luhn(stem + c))
 
+    def mixed(n: int) -> str:
+        return "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n - 1)) + r.choice("0123456789")
+
+    def given(value: str) -> str:
+        name, quote = r.choice(["token", "api_key", "secret", "password", "pwd", "access key", "auth", "bearer", "key", "credential", "client_secret"]), r.choice(["", '"', "'"])
+        return f"{r.choice([name, name.upper(), name.capitalize()])}{r.choice([' = ', ': ', '=', ' is '])}{quote}{value}{quote}"
+
     def cut(s: str, sizes: tuple[int, ...], by: str) -> str:
         out, at = [], 0
         for n in sizes:
@@ -142,6 +185,9 @@ def examples(count: int = 4000, seed: int = 11) -> list[tuple[str, bool]]:
         lambda: ":".join(h(4) for _ in range(8)),
         lambda: f"{h(4)}:{h(4)}::{h(3)}:{h(2)}",
         lambda: "[.]".join(str(r.randint(1, 255)) for _ in range(4)),
+        lambda: given(r.choice([h(r.choice([32, 40, 64])), mixed(r.randint(20, 44)), "AKIA" + mixed(16).upper(), "ghp_" + mixed(36), f"eyJ{mixed(20)}.{mixed(40)}.{mixed(30)}"])),
+        lambda: given(r.choice([word() + d(r.randint(2, 4)) + "!", mixed(r.randint(8, 14)), word().capitalize() + "#" + d(3)])),
+        lambda: r.choice([mixed(r.randint(24, 44)), "ghp_" + mixed(36), f"eyJ{mixed(20)}.{mixed(40)}.{mixed(30)}"]),
     ]
     no: list[Callable[[], str]] = [
         lambda: f"{word()} @ {word()}.{r.choice(['Then', 'The', 'And', 'we'])}",
@@ -157,8 +203,30 @@ def examples(count: int = 4000, seed: int = 11) -> list[tuple[str, bool]]:
         lambda: f"{d(2)}.{d(2)}",
         lambda: f"{d(5)} {d(5)} {d(5)}",
         lambda: " ".join(d(r.randint(2, 4)) for _ in range(r.randint(2, 6))),
+        lambda: f"{r.choice(['commit', 'sha1', 'md5', 'checksum', 'etag'])}{r.choice([' ', ': ', ' = '])}{h(r.choice([32, 40, 64]))}",
+        lambda: f"{r.choice(['https://', 'www.', '/'])}{'/'.join(word() for _ in range(r.randint(2, 5)))}{r.choice(['', '-' + d(4), '/' + d(6)])}",
+        lambda: "-".join(word() for _ in range(r.randint(3, 6))) + r.choice(["", "-" + d(2)]),
+        lambda: d(r.randint(16, 30)),
+        lambda: f"{r.choice(['token', 'key', 'secret', 'password'])} {r.choice(['is', ':'])} {word()}{word()}",
+        lambda: r.choice("=-_+") * r.randint(16, 60),
     ]
-    return [(f"{word()} {word()} {r.choice(yes if k % 2 else no)()} {word()}", bool(k % 2)) for k in range(count)]
+
+    def around() -> tuple[str, str]:
+        if not carriers:
+            return f"{word()} {word()}", word()
+        words = _NAMED.sub(" ", r.choice(carriers)).split() or [word()]
+        at = r.randrange(len(words) + 1)
+        return " ".join(words[max(0, at - 8) : at]), " ".join(words[at : at + 6])
+
+    out = []
+    for k in range(count):
+        before, after = around()
+        out.append((f"{before} {r.choice(yes if k % 2 else no)()} {after}", bool(k % 2)))
+    return out
+
+
+#: Runs with digits or signs of a carrier go: what they are isn't known.
+_NAMED = re.compile(r"\S*[0-9@=_]\S*")
 
 
 @dataclass
@@ -168,8 +236,8 @@ class Selector:
 
     def added(self, text: str, taken: dict[str, list[Span]]) -> dict[str, list[Span]]:
         """The candidates over their kind's threshold, the likeliest first, that overlap no other span taken."""
-        out: dict[str, list[Span]] = {kind: [] for kind in KINDS}
-        found = [*candidates(text)] if text else []
+        out: dict[str, list[Span]] = {kind: [] for kind in ALL}
+        found = [*{*candidates(text)}] if text else []
         if not found:
             return out
         covered = bytearray(len(text))
@@ -190,18 +258,22 @@ class Selector:
         """(base spans, all spans) by kind, by start."""
         first = base(text)
         more = self.added(text, first)
-        return first, {kind: sorted(first[kind] + more[kind]) for kind in KINDS}
+        return first, {kind: sorted(first.get(kind, []) + more[kind]) for kind in ALL}
+
 
+def train(carriers: list[str] | None = None, precision: float = 0.99, count: int = 8000) -> Selector:
+    """Trees from three quarters of the examples; each kind's threshold is the least that reaches the precision on the rest.
 
-def train(precision: float = 0.99, count: int = 4000) -> Selector:
-    """Trees from three quarters of the made-up examples; each kind's threshold is the least that reaches the precision on the rest."""
-    rows = [(k, features(text, *c), text, c, good) for k, (text, good) in enumerate(examples(count)) for c in candidates(text)]
-    x, y = np.array([r[1] for r in rows]), np.array([float(r[4]) for r in rows])
+    carriers: pieces of the documents (see pieces), that context is learned from; their own runs with digits or signs are left
+    out, as nobody has said what they are, so that all candidates of a line are of what was put into it.
+    """
+    rows = [(k, features(text, *c), good) for k, (text, good) in enumerate(examples(count, carriers=carriers)) for c in sorted({*candidates(text)})]
+    x, y = np.array([r[1] for r in rows]), np.array([float(r[2]) for r in rows])
     held = np.array([r[0] % 8 < 2 for r in rows])  # whole pairs of examples: both labels
-    trees = fit(x[~held], y[~held], trees=60, depth=4)
+    trees = fit(x[~held], y[~held], trees=80, depth=5)
     p, kind = trees.probability(x[held]), x[held, 0]
     threshold = {}
-    for k, name in enumerate(KINDS):
+    for k, name in enumerate(ALL):
         q, good = p[kind == k], y[held][kind == k]
         order = np.argsort(-q, kind="stable")
         exact = np.cumsum(good[order]) / np.arange(1, len(q) + 1)
@@ -211,17 +283,17 @@ def train(precision: float = 0.99, count: int = 4000) -> Selector:
 
 
 def listed(spans: dict[str, list[Span]]) -> str:
-    return ",".join(f"{kind}:{s}:{e}" for kind in KINDS for s, e in spans[kind])
+    return ",".join(f"{kind}:{s}:{e}" for kind in ALL for s, e in spans.get(kind, ()))
 
 
 def find(text: Column, selector: Selector) -> Column:
-    """struct of the numbers of base spans by kind, base and spans (each kind:start:end, in code points). Null is empty."""
+    """struct of the numbers of base spans by kind, base and spans (each kind:start:end, in code points), number of added spans. Null is empty."""
 
-    @F.arrow_udf("struct<n_email long, n_ip long, n_card long, n_phone long, base string, spans string>")
+    @F.arrow_udf("struct<n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_added long>")
     def found(texts: pa.Array) -> pa.Array:
         rows = [selector.spans(t or "") for t in texts.to_pylist()]
         counts = [pa.array([len(first[kind]) for first, _ in rows], pa.int64()) for kind in KINDS]
-        return pa.StructArray.from_arrays([*counts, pa.array([listed(first) for first, _ in rows], pa.string()), pa.array([listed(every) for _, every in rows], pa.string())], ["n_email", "n_ip", "n_card", "n_phone", "base", "spans"])
+        return pa.StructArray.from_arrays([*counts, pa.array([listed(first) for first, _ in rows], pa.string()), pa.array([listed(every) for _, every in rows], pa.string()), pa.array([sum(map(len, every.values())) - sum(map(len, first.values())) for first, every in rows], pa.int64())], ["n_email", "n_ip", "n_card", "n_phone", "base", "spans", "n_added"])
 
     return found(text)
 

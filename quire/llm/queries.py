@@ -42,8 +42,8 @@ def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.select("doc_id", pii.find(F.col("text"), pii.train()).alias("f"))
-    return found.select("doc_id", "f.n_email", "f.n_ip", "f.n_card", "f.n_phone", F.sha2("f.base", 256).alias("base_sha256"), "f.spans")
+    found = docs.select("doc_id", pii.find(F.col("text"), pii.train(pii.pieces(docs))).alias("f"))
+    return found.select("doc_id", "f.n_email", "f.n_ip", "f.n_card", "f.n_phone", F.sha2("f.base", 256).alias("base_sha256"), "f.spans", "f.n_added")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,25 @@ def test_pii_added_and_redacted(spark):
     assert (row.n_email, row.n_ip, row.base) == (1, 1, "email:5:13,ip:17:25") and rng
 
 
+def test_pii_added_in_documents(spark):
+    """What the base patterns miss in the documents: the values of `token = "..."`, and nothing else; whole long texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    selector = pii.train(pii.pieces(docs))
+    assert len(pii.pieces(docs, count=50)) == 50 and pii.pieces(docs.limit(0)) == []
+    found = right = real = 0
+    texts = [r.text or "" for r in docs.collect()]
+    for t in texts:
+        first, every = selector.spans(t)
+        assert all(set(first[kind]) <= set(every[kind]) for kind in pii.KINDS)
+        added = {s for kind in pii.ALL for s in every[kind]} - {s for v in first.values() for s in v}
+        secret = {m.span(1) for m in re.finditer(r'(?i)token = "([0-9a-f]{30,})"', t)}
+        found, right, real = found + len(added), right + len(added & secret), real + len(secret)
+    assert real > 100 and right >= 0.95 * real and right >= 0.95 * found, (found, right, real)
+    long = next(t for t in texts if 'token = "' in t)
+    moved = [(a + 300_000, b + 300_000) for a, b in selector.spans(long)[1]["secret"]]
+    assert moved and selector.spans("word " * 60_000 + long)[1]["secret"] == moved
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     coder = language.train(language.sample(docs, fold(F.col("doc_id"), 4) != 2, 60))
