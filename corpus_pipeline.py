@@ -38,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With the kind of each span of personal data in its place."""
     small_batches(spark)
-    return _changed(docs, pii.redact(F.col("text"), pii.train()))
+    return _changed(docs, pii.redact(F.col("text"), pii.train(pii.pieces(docs))))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
