@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,8 @@ from .common import utf8_arrays
 #: Longest context in bytes; contexts of that length are kept if seen so often in some language.
 ORDER, SEEN = 3, 3
 PIECE = 1 << 20
+#: Texts to learn from, of all languages together.
+TEXTS = 20_000
 NO_LETTER = "und"
 
 
@@ -64,30 +67,49 @@ class Coder:
         return out
 
 
-def _tree(texts: list[bytes]) -> list[dict[bytes, Counter]]:
-    """By length of context: the counts of the bytes that follow each context."""
-    out = []
-    for order in range(ORDER + 1):
-        grams: Counter = Counter()
-        for t in texts:
-            if len(t) > order:
-                a = np.frombuffer(t, np.uint8)
-                key = np.zeros(len(a) - order, np.int64)
-                for j in range(order + 1):
-                    key = key * 256 + a[j : len(a) - order + j]
-                for k, c in zip(*np.unique(key, return_counts=True), strict=True):
-                    grams[int(k)] += int(c)
-        tree: dict[bytes, Counter] = defaultdict(Counter)
-        for k, c in grams.items():
-            tree[(k >> 8).to_bytes(order, "big")][k & 255] += c
-        out.append(dict(tree))
-    return out
-
-
-def train(samples: dict[str, list[str]]) -> Coder:
-    """Freezes the context trees of the sample texts. Escape probabilities are method C: kinds seen / (kinds + symbols seen)."""
+Tree = list[dict[bytes, Counter]]
+_COUNTS = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
+
+
+def _grams(text: bytes, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of order + 1 bytes of a text, as numbers, and how often each occurs."""
+    a = np.frombuffer(text, np.uint8)
+    key = np.zeros(max(0, len(a) - order), np.int64)
+    for j in range(order + 1):
+        key = key * 256 + a[j : j + len(key)]
+    return np.unique(key, return_counts=True)
+
+
+def _tree(grams: Iterable[tuple[int, int, int]]) -> Tree:
+    """(order, gram, count) -> by length of context: the counts of the bytes that follow each context."""
+    out: Tree = [defaultdict(Counter) for _ in range(ORDER + 1)]
+    for order, gram, n in grams:
+        out[order][(gram >> 8).to_bytes(order, "big")][gram & 255] += n
+    return [dict(level) for level in out]
+
+
+def tree_of(texts: list[str]) -> Tree:
+    """The context tree of some texts."""
+    return _tree((order, int(g), int(n)) for t in texts for order in range(ORDER + 1) for g, n in zip(*_grams(t.encode(), order), strict=True))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (lang, text): the grams of each batch with their counts."""
+    for batch in batches:
+        found: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for order in range(ORDER + 1):
+                found[lang, order].append(_grams(text.encode(), order))
+        for (lang, order), parts in found.items():
+            gram, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in parts]), len(gram)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), order), pa.int32()), pa.array(gram, pa.int64()), pa.array(n)], schema=_COUNTS)
+
+
+def train(samples: dict[str, Tree]) -> Coder:
+    """Freezes the context trees of the languages. Escape probabilities are method C: kinds seen / (kinds + symbols seen)."""
     languages = sorted(samples)
-    trees = [_tree([t.encode() for t in samples[x]]) for x in languages]
+    trees = [samples[x] for x in languages]
     seen = sorted({b for tree in trees for b in tree[0].get(b"", ())})
     symbol = np.full(256, 1, np.uint8)  # 1: seen by no tree
     if len(seen) > 200:  # the table of states is cubic in the symbols: rare bytes share the unseen one
@@ -132,30 +154,34 @@ def train(samples: dict[str, list[str]]) -> Coder:
     return Coder(languages, symbol, state, cost)
 
 
-def sample(docs: DataFrame, wanted: Column, each: int = 300, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", longest: int = 200_000) -> dict[str, list[str]]:
-    """Up to `each` whole texts of each language to learn from, those first by the hash of their id.
+def sample(docs: DataFrame, wanted: Column, each: int = 300, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", longest: int = 200_000) -> dict[str, Tree]:
+    """The context tree of each language, of up to `each` whole texts of it, those first by the hash of their id.
 
-    Only texts of `longest` bytes at most, so that what the driver gets is bounded; texts and languages that are null don't count.
-    Counts by language come first, so that of each language only rows whose hash lies low enough to be chosen are ranked.
+    Counted on the executors: the driver gets counts of runs of four bytes at most. Only texts of `longest` bytes at most, and
+    with over TEXTS / each languages fewer texts of each, so that what is collected has a bound; texts and languages that are
+    null don't count. Counts by language come first, so that only rows whose hash lies low enough to be chosen are ranked.
     """
     known = docs.where(wanted & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= longest))
     keyed = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("doc"), F.xxhash64(id_col).alias("order"))
-    counts = {r.lang: r["count"] for r in keyed.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, (4 * each + 100) / n)).otherwise(share)
-    keyed = keyed.where(F.shiftrightunsigned("order", 11) / float(1 << 53) < share)
+    counts = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()
+    each = max(1, min(each, TEXTS // max(1, languages)))
+    low = F.broadcast(counts.select("lang", ((4 * each + 100) / F.col("n")).alias("share"))) if languages <= TEXTS else counts.select("lang", ((4 * each + 100) / F.col("n")).alias("share"))
+    keyed = keyed.join(low, "lang").where(F.shiftrightunsigned("order", 11) / float(1 << 53) < F.col("share"))
     first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc"))).where(F.col("n") <= each).select(F.col("doc").alias("chosen"))
     texts = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc")).join(F.broadcast(first.distinct()), F.col("doc") == F.col("chosen"), "left_semi")
-    out: dict[str, list[str]] = defaultdict(list)
-    for r in texts.collect():
-        out[r.lang].append(r.text)
-    return dict(out)
+    grams = texts.select("lang", "text").mapInArrow(_counted, "lang string, length int, gram long, n long").groupBy("lang", "length", "gram").agg(F.sum("n").alias("n"))
+    by_language: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
+    for lang, order, gram, n in zip(*(c.to_pylist() for c in grams.toArrow().columns), strict=True):
+        by_language[lang].append((order, gram, n))
+    return {lang: _tree(rows) for lang, rows in by_language.items()}
 
 
 def predict(text: Column, coder: Coder) -> Column:
-    """struct(lang_pred, score): the language that codes the whole text in the fewest bits, and its share of the probability.
+    """struct(lang_pred, score): the language that codes the whole text in the fewest bits, and how far it is ahead.
 
+    score: its share of the languages' probabilities, whose code lengths are first divided by the root of the text's bytes (as
+    bytes aren't independent, plain shares of long texts would all be 0 or 1).
     Null texts, texts without a letter, and all texts if no language was learned: `und` with score 0. Ties: the first by name.
     """
 

@@ -10,9 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import written
+from .common import spread_join, written
 from .graph import components
 
 SEED = 42
@@ -240,7 +239,8 @@ def links(prints: DataFrame, radius: int, blocks: int | None = None) -> DataFram
     """(u, v), u > v: links between distinct fingerprints (column fp) that give the components of all pairs up to the radius.
 
     Of `blocks` blocks of bits, two such fingerprints have all but `radius` in common: each fingerprint goes to a bucket for
-    each choice of those. A bucket of one row ends there; one of more than HEAVY rows is dealt out as pairs of blocks.
+    each choice of those. A bucket of one row ends there; one of more than HEAVY rows is dealt out as pairs of blocks. Buckets
+    are counted by partial sums, and none comes to one task before it is dealt out.
     """
     blocks = blocks or radius + 4
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
@@ -249,19 +249,17 @@ def links(prints: DataFrame, radius: int, blocks: int | None = None) -> DataFram
         mask = sum(((1 << edges[k + 1]) - (1 << edges[k])) for k in range(blocks) if k not in drop)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     keyed = prints.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks)))).select(F.col("pos").alias("band"), F.col("col").alias("key"), "fp")
-    counted = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band", "key"))).where("n > 1")
-    light = counted.where(F.col("n") <= HEAVY).select("band", "key", F.lit(0).alias("side"), "fp").sortWithinPartitions("band", "key", "side", "fp")
+    sized = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = spread_join(keyed, sized, ["band", "key"], "n", prints.count() * len(masks), by="fp")
     parts = F.ceil(F.col("n") / HEAVY).cast("int")
-    own = F.pmod(F.xxhash64(F.col("fp")), parts).cast("int")
-    heavy = counted.where(F.col("n") > HEAVY).withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    pair = F.xxhash64("band", "key", low, high)
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    dealt = heavy.select((F.col("band") + len(masks)).alias("band"), pair.alias("key"), side.alias("side"), "fp")
-    dealt = dealt.repartition("band", "key").sortWithinPartitions("band", "key", "side", "fp")
-    run = _links(radius)
-    found = [x.select(F.col("band").cast("long"), "key", F.col("side").cast("long"), "fp").mapInArrow(run, "u long, v long") for x in (light, dealt)]
-    return found[0].unionByName(found[1])
+    own = F.pmod(F.xxhash64(F.col("fp")), F.col("parts")).cast("int")
+    dealt = counted.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high, one = F.least("own", "other"), F.greatest("own", "other"), F.col("parts") == 1
+    side = F.when(one | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    key = F.when(one, F.col("key")).otherwise(F.xxhash64("key", low, high))
+    band = F.col("band") + F.when(one, 0).otherwise(len(masks))
+    dealt = dealt.select(band.cast("long").alias("band"), key.alias("key"), side.cast("long").alias("side"), "fp")
+    return dealt.repartition("band", "key").sortWithinPartitions("band", "key", "side", "fp").mapInArrow(_links(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -270,11 +268,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked if their fingerprints differ in `radius` bits at most; those without words (null, empty) have
     fingerprint zero and are linked like any other. Repeated rows stay. A null id is never the smallest, unless all are null.
     Links, components and fingerprints stay distributed: only distinct fingerprints are compared, each standing for any
-    number of documents.
+    number of documents, and a fingerprint or component of very many is dealt out over tasks when rows get their component.
     """
     prints = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("fp")), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
     roots = components(links(distinct.select("fp"), radius))
-    placed = distinct.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(placed.join(first, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    placed = written(distinct.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
+    first = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    named = spread_join(placed, first, ["root"], "members", distinct.count(), by="fp").select("fp", "rows", "component_id")
+    return spread_join(prints, named, ["fp"], "rows", prints.count(), by="id").select("id", "fp", "component_id")

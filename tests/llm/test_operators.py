@@ -149,10 +149,23 @@ def test_language(spark):
     assert odd.select(language.predict(F.col("text"), none)["lang_pred"]).distinct().collect()[0][0] == "und"
 
 
+def test_language_trees_and_pieces(spark, docs, monkeypatch):
+    """Counts of the executors are those of the texts at once, and code lengths don't depend on where pieces are cut."""
+    rows = docs.where("lang is not null and text is not null").collect()
+    trees = language.sample(docs, F.lit(True), 10_000)
+    assert trees == {lang: language.tree_of([r.text for r in rows if r.lang == lang and r.doc_id is not None]) for lang in {r.lang for r in rows}}
+    coder = language.train(trees)
+    flat = np.frombuffer(b"".join(r.text.encode() for r in rows), np.uint8)
+    starts = np.cumsum([0, *(len(r.text.encode()) for r in rows)])
+    whole = coder.bits(flat, starts)
+    monkeypatch.setattr(language, "PIECE", 97)
+    assert np.allclose(coder.bits(flat, starts), whole)
+
+
 def test_language_code_lengths():
     """Against prediction by partial matching written out byte by byte."""
     samples = {"x": ["abracadabra", "abrakadabra"], "y": ["banana band", "bandana"]}
-    coder = language.train(samples)
+    coder = language.train({lang: language.tree_of(v) for lang, v in samples.items()})
     texts = ["abracad", "banabra", "", "zzz", "a"]
     flat = np.frombuffer("".join(texts).encode(), np.uint8)
     starts = np.cumsum([0, *map(len, texts)])
