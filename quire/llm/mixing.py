@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, written
+from .common import SHARES, WORD, written
 
 #: Documents of a source that one flight takes, and flights whose rests the next one takes together.
 FLIGHT, REST = 4096, 1000
-#: Documents, of all sizes, that each flight leaves open: those of the last one go to the landing, where all their choices are weighed.
+#: Documents, of all sizes but the largest tenth, that each flight leaves open: those of the last one go to the landing, where all their choices are weighed.
 LANDING = 14
 
 
@@ -84,7 +84,8 @@ def _flights(last: bool):
         t = {c: rows[c].to_numpy(zero_copy_only=False) for c in ("__size", "__p", "__coin")}
         order = np.lexsort((t["__coin"], -t["__size"]))  # the smallest documents come last and stay open
         p = t["__p"].copy()
-        left = np.unique(np.linspace(0, len(order) - 1, min(LANDING, len(order))).round().astype(int))
+        largest = max(0, min(len(order) // 10, len(order) - LANDING))  # these are flown: what one of them is off no others make up for
+        left = np.unique(np.linspace(largest, len(order) - 1, min(LANDING, len(order))).round().astype(int))
         flown = np.delete(order, left)
         p[flown] = flight(p[flown], t["__size"][flown], (t["__coin"][flown] >> 11) / float(1 << 53) + 0.5)
         if last:
@@ -99,16 +100,17 @@ def word_count(text: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """One row per row of docs: id, source, size (words), source_size, target, copies, taken (copies x size).
+    """One row per row of docs: id, key, source, size (words), source_size, target, copies, taken (copies x size).
 
     A source's documents are each due target / source_size times: the whole part always, the rest as a probability, settled by
     flights over parts of the source with the documents that stay open (LANDING of all sizes and two to a part) going to the
     next flight, until a landing of a few documents is left for each source. A source's draw depends on its own documents and
-    its target, not on how many flights other sources need. Drawn from the hash of the id: reruns agree. Null texts have no words
+    its target, not on how many flights other sources need. Drawn from key, a hash of id and text: reruns agree. Null texts have no words
     and a null source is a source. Sources without words have target 0 and nothing is taken. Of rows that repeat, each is a
-    document. What is collected is one row per source.
+    document; equal rows that are very many are dealt out over the flights by their place. What is collected is one row per
+    source.
     """
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col).alias("key")), "sizes")
     spark = docs.sparkSession
     stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).collect()
     goal = targets({r.source: r.source_size for r in stats}, weights, cap)
@@ -117,8 +119,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     kind = sized.schema["source"].dataType.simpleString()
     by_source = spark.createDataFrame([(r.source, r.source_size, float(goal[r.source]), min(due[r.source], cap), parts[r.source]) for r in stats], f"__source {kind}, source_size long, target double, __due double, __parts long")
     joined = sized.join(by_source, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    coin = F.xxhash64(F.col("id"), F.lit(97))
-    units = joined.select("id", "source", "source_size", "target", F.col("size").alias("__size"), F.floor("__due").alias("__whole"), (F.col("__due") - F.floor("__due")).alias("__p"), coin.alias("__coin"), F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.col("__parts")).alias("__part"))
+    often = max(FLIGHT, sum(r.n for r in stats) // SHARES)  # so that there can't be more than SHARES such keys
+    hot = F.broadcast(sized.groupBy(F.col("key").alias("__hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > often).select("__hot"))
+    joined = joined.withColumn("__at", F.monotonically_increasing_id()).join(hot, F.col("key") == F.col("__hot"), "left")
+    deal = F.when(F.col("__hot").isNull(), F.xxhash64("key", F.lit(5))).otherwise(F.xxhash64("key", "__at"))
+    coin = F.xxhash64(F.col("key"), F.lit(97))
+    units = joined.select("id", "key", "source", "source_size", "target", F.col("size").alias("__size"), F.floor("__due").alias("__whole"), (F.col("__due") - F.floor("__due")).alias("__p"), coin.alias("__coin"), F.pmod(deal, F.col("__parts")).alias("__part"))
     settled: list[DataFrame] = []
     most = max(parts.values(), default=1)
     while True:
@@ -134,20 +140,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for more in settled[1:]:
         out = out.unionByName(more)
     copies = (F.col("__whole") + F.round("__p")).cast("long")
-    return out.select("id", "source", F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
+    return out.select("id", "key", "source", F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """The rows of docs, all columns, with size, source_size, target, copies and taken; columns of those names are replaced.
 
-    A row's draw depends on its id, source and words alone, so equal rows have equal copies in sum but may differ; they are
-    joined in order of a number that is dealt within equal (id, source, size).
+    Rows find their draw by key; equal rows have equal copies in sum but may differ, and are numbered to be joined.
     """
     drop = [x for x in ("copies", "taken", "target", "size", "source_size") if x in docs.columns]
     plain = docs.drop(*drop)
     found = mix(plain, id_col, text_col, source_col, weights, cap)
     nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*by))
-    dealt = found.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "source_size", "target", "copies", "taken").withColumn("__nth", nth("__id", "__source", "__size"))
-    own = plain.withColumn("__words", word_count(F.col(text_col))).withColumn("__own", nth(id_col, source_col, "__words"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")) & (F.col("__own") == F.col("__nth"))
-    return own.join(dealt, same).drop("__id", "__source", "__size", "__nth", "__own").withColumnRenamed("__words", "size")
+    key = F.xxhash64("__key", "__of", "__size").alias("__key")
+    dealt = found.select(F.col("key").alias("__key"), F.col("source").alias("__of"), F.col("size").alias("__size"), "source_size", "target", "copies", "taken").select(key, "source_size", "target", "copies", "taken").withColumn("__nth", nth("__key"))
+    own = plain.withColumn("size", word_count(F.col(text_col))).withColumn("__own_key", F.xxhash64(F.xxhash64(id_col, text_col), source_col, "size")).withColumn("__own", nth("__own_key"))
+    return own.join(dealt, (F.col("__own_key") == F.col("__key")) & (F.col("__own") == F.col("__nth"))).drop("__key", "__nth", "__own_key", "__own")

@@ -490,10 +490,25 @@ def test_mix(spark, docs, corpus, monkeypatch):
                 assert abs(sum(r.taken for r in v) - goal[s]) <= max(5, 0.005 * goal[s]), s
         assert multiset(mixing.mix(docs).collect()) == multiset(got)
     whole = mixing.mixed(docs)
+    assert Counter((r.doc_id, r.source, r.size, r.copies, r.taken) for r in whole.collect()) == Counter((r.id, r.source, r.size, r.copies, r.taken) for r in got)
     assert whole.count() == len(corpus) and set(docs.columns) <= set(whole.columns)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_equal_rows(spark, monkeypatch):
+    """Null ids, and equal rows in numbers far over a flight: each row is a document, and totals hold."""
+    monkeypatch.setattr(mixing, "FLIGHT", 64)
+    monkeypatch.setattr(mixing, "SHARES", 4)
+    rows = [(7, "a", "x y z")] * 400 + [(None, "a", " ".join(["w"] * k)) for k in range(200)] + [(k, "b", "one two") for k in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3).cache()
+    got = mixing.mix(frame).collect()
+    assert Counter((r.id, r.source, r.size) for r in got) == Counter((d, s, len(t.split())) for d, s, t in rows)
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.01 * own[0].target and all(0 <= r.taken <= 3 * r.size for r in own)
+    assert mixing.mixed(frame).count() == len(rows)
+
+
 def test_mix_keeps_the_landing(spark, monkeypatch):
     """A small source is settled alike whether or not another one takes several flights, and so is a large one's total."""
     rng = np.random.default_rng(31)
