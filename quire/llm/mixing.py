@@ -14,7 +14,7 @@ from .common import SHARES, WORD, written
 
 #: Documents of a source that one flight takes, and flights whose rests the next one takes together.
 FLIGHT, REST = 4096, 1000
-#: Documents, of all sizes but the largest tenth, that each flight leaves open: those of the last one go to the landing, where all their choices are weighed.
+#: Documents, of all sizes, that each flight leaves open: those of the last one go to the landing, where all their choices are weighed.
 LANDING = 14
 
 
@@ -79,17 +79,31 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
+def turn(p: np.ndarray, due: np.ndarray, size: np.ndarray, order: np.ndarray) -> None:
+    """Turns settled documents over, in order and as long as they fit, to make up for what the landing is off.
+
+    That is much only where one document outweighs all others of the landing.
+    """
+    off = float(p @ size - due @ size)
+    for k in order.tolist():
+        if abs(off) < 1:
+            break
+        if 0 < size[k] <= abs(off) and 0 < due[k] < 1 and p[k] == (off > 0):
+            p[k] = 1 - p[k]
+            off -= size[k] * (1 if off > 0 else -1)
+
+
 def _flights(last: bool):
     def run(rows: pa.Table) -> pa.Table:
         t = {c: rows[c].to_numpy(zero_copy_only=False) for c in ("__size", "__p", "__coin")}
         order = np.lexsort((t["__coin"], -t["__size"]))  # the smallest documents come last and stay open
         p = t["__p"].copy()
-        largest = max(0, min(len(order) // 10, len(order) - LANDING))  # these are flown: what one of them is off no others make up for
-        left = np.unique(np.linspace(largest, len(order) - 1, min(LANDING, len(order))).round().astype(int))
+        left = np.unique(np.linspace(0, len(order) - 1, min(LANDING, len(order))).round().astype(int))
         flown = np.delete(order, left)
         p[flown] = flight(p[flown], t["__size"][flown], (t["__coin"][flown] >> 11) / float(1 << 53) + 0.5)
         if last:
             p[order] = landing(p[order], t["__size"][order])
+            turn(p, t["__p"], t["__size"], order)
         return rows.set_column(rows.schema.get_field_index("__p"), "__p", pa.array(p))
 
     return run
