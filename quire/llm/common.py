@@ -52,6 +52,14 @@ def spread_join(many: DataFrame, one: DataFrame, on: list[str], rows: str, total
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
+def low_enough(hash_: Column, count: int, total: int) -> Column:
+    """Whether a row's hash is among the lowest of total rows, of which at least count are so, but for a chance of nearly nothing.
+
+    Before a limit by that hash: no task then sends on more than its share of them.
+    """
+    return F.shiftrightunsigned(hash_, 11) / float(1 << 53) < F.lit((2 * count + 100) / max(total, 1))
+
+
 def fold(key: Column, of: int) -> Column:
     """crc32 of the key as text, modulo of; 0 for a null key."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % of, F.lit(0))

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import dropped, spread_join, written
 from .graph import components
@@ -19,8 +20,12 @@ from .simhash import fingerprint_of, near_ahead, near_each, shingle_hashes
 BANDS, LEAST = 24, 4
 #: Pairs of fingerprints up to this distance are looked at first (texts that resemble 0.8 differ in 10 bits or so). Pairs beyond aren't lost.
 RADIUS = 20
+#: Pairs of a node that are looked at first (it is in one of each band at most).
+FIRST = 2
 #: Rows and shingles of a block: what a task compares at once. Larger buckets are dealt out as blocks.
 ROWS, SHINGLES = 1 << 12, 1 << 20
+#: Up to so many keys are sent to every executor (24 bytes each); more are joined by a shuffle.
+KEYS = 500_000
 #: Up to this size buckets are compared side by side, larger ones each by itself: a matter of speed, not of results.
 SMALL = 48
 _RNG = np.random.Generator(np.random.PCG64(7))
@@ -37,9 +42,9 @@ def _bands(hashes: np.ndarray) -> list[int]:
 
 
 def _described(words: int):
-    @F.arrow_udf("struct<digest binary, fp bigint, bands array<bigint>, n bigint, sketch binary>")
+    @F.arrow_udf("struct<digest binary, fp bigint, bands array<bigint>, n bigint>")
     def described(texts: pa.Array) -> pa.Array:
-        digest, fp, bands, n, sketch = [], [], [], [], []
+        digest, fp, bands, n = [], [], [], []
         for k in range(len(texts)):
             text = texts[k].as_py() or ""
             hashes = np.unique(shingle_hashes(text, words))  # as sets: fingerprints and bands like resemblance
@@ -47,20 +52,27 @@ def _described(words: int):
             fp.append(fingerprint_of(hashes))
             bands.append(_bands(hashes) if len(hashes) else [])
             n.append(len(hashes))
-            sketch.append(_packed(hashes.view(np.int64)))
-        return pa.StructArray.from_arrays([pa.array(digest, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], ["digest", "fp", "bands", "n", "sketch"])
+        return pa.StructArray.from_arrays([pa.array(digest, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(n, pa.int64())], ["digest", "fp", "bands", "n"])
 
     return described
 
 
+def _sketch(words: int):
+    @F.arrow_udf("binary")
+    def sketch(texts: pa.Array) -> pa.Array:
+        return pa.array([_packed(np.unique(shingle_hashes(texts[k].as_py() or "", words)).view(np.int64)) for k in range(len(texts))], pa.binary())
+
+    return sketch
+
+
 def _leaders(fp: np.ndarray, radius: int, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, leader): each row that is near an earlier leader with the nearest one; the others lead."""
+    """(row, leader): each row that is near an earlier leader with the first such one; the others lead."""
     lead = np.zeros(0, np.int64)
     for begin in range(0, len(fp), step):
         rows = np.arange(begin, min(begin + step, len(fp)))
         best = np.full(len(rows), -1, np.int64)
         for q, at in near_each(fp[rows], fp[lead], radius) if len(lead) else ():
-            order = np.lexsort((at, np.bitwise_count(fp[rows[q]] ^ fp[lead[at]]), q))
+            order = np.lexsort((at, q))
             first = order[np.r_[True, q[order][1:] != q[order][:-1]]] if len(order) else order
             best[q[first]] = lead[at[first]]
         open_ = rows[best < 0]
@@ -68,7 +80,7 @@ def _leaders(fp: np.ndarray, radius: int, step: int = 256) -> Iterator[tuple[np.
         for row in open_.tolist():  # few: what is near no leader so far
             far = np.bitwise_count(fp[new] ^ fp[row]) if new else np.zeros(0)
             if len(far) and far.min() <= radius:
-                best[row - begin] = new[int(far.argmin())]
+                best[row - begin] = new[int((far <= radius).argmax())]
             else:
                 new.append(row)
         lead = np.concatenate([lead, np.array(new, np.int64)])
@@ -77,13 +89,16 @@ def _leaders(fp: np.ndarray, radius: int, step: int = 256) -> Iterator[tuple[np.
 
 
 def _bucket_pairs(node: np.ndarray, fp: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes to look at first, one for a row at most: with its nearest earlier row in small buckets, its nearest leader in others."""
+    """Pairs of nodes to look at first, one for a row at most: with the first row that is near, or the first leader in large buckets.
+
+    The first, not the nearest: the same row is first in most buckets of a group, so that few different pairs come about.
+    """
     cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[cuts, len(fp)])
     small = sizes <= SMALL
     at = np.flatnonzero(np.repeat(small, sizes))
     a, b = near_ahead(fp[at], group[at], RADIUS)
-    order = np.lexsort((a, np.bitwise_count(fp[at[a]] ^ fp[at[b]]), b))
+    order = np.lexsort((a, b))
     first = order[np.r_[True, b[order][1:] != b[order][:-1]]] if len(order) else order
     yield node[at[a[first]]], node[at[b[first]]]
     for cut, size in zip(cuts[~small].tolist(), sizes[~small].tolist(), strict=True):
@@ -184,12 +199,13 @@ def _compared(similarity: float):
 def _first_pairs(shared: DataFrame) -> DataFrame:
     """Pairs (u, v) of nodes whose fingerprints are near, from the buckets with more than one; large buckets as blocks.
 
-    The blocks of a bucket don't meet here: each band deals nodes out in another way, so that blocks of one band are joined
+    Of a node's pairs those FIRST that most bands have are looked at. The blocks of a bucket don't meet here: each band deals nodes out in another way, so that blocks of one band are joined
     over those of the others. What isn't is left to _left.
     """
     block = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("rows") / ROWS))
     dealt = shared.select(F.when(F.col("rows") <= ROWS, F.col("bucket")).otherwise(F.xxhash64("bucket", block)).alias("place"), "node", "fp")
-    return dealt.repartition("place").sortWithinPartitions("place", "node").mapInArrow(_candidates(), "u long, v long").distinct()
+    found = dealt.repartition("place").sortWithinPartitions("place", "node").mapInArrow(_candidates(), "u long, v long").groupBy("u", "v").agg(F.count(F.lit(1)).alias("bands"))
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("bands"), "v"))).where(F.col("nth") <= FIRST).select("u", "v")
 
 
 def _counted(df: DataFrame, key: str) -> DataFrame:
@@ -264,16 +280,19 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     total = classes.count() * BANDS
     shared = written(spread_join(keyed, sized, ["bucket"], "rows", total, by="node"), "shared")
     pairs = written(_first_pairs(shared), "pairs")
-    needed = written(classes.join(shared.select("node").distinct(), "node", "left_semi").select("digest", "node"), "needed")
-    sketches = written(rows.select("digest", "sketch").join(needed, "digest").groupBy("node").agg(F.first("sketch").alias("sketch")), "sketch")
+    needed = written(classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("first").alias("__first")), "needed")
+    texts = docs.select(row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
+    own = texts.join(F.broadcast(needed) if needed.count() <= KEYS else needed, F.col("__key") == F.col("__first"))
+    sketches = written(own.select("node", _sketch(words)(F.col("__text")).alias("sketch")).groupBy("node").agg(F.first("sketch").alias("sketch")), "sketch")
     alike = _alike(pairs, sketches, similarity)
     roots = components(alike)
+    dropped(pairs)
     left = _left(shared.select(F.col("bucket").alias("place"), "node", "n"), roots, sketches, similarity)
     if not left.isEmpty():
         roots = components(roots.unionByName(left))
     out = written(classes.drop("fp", "bands", "n").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-    dropped(keyed, shared, pairs, needed, sketches, classes, alike, left)
-    return rows.select("key", "id", "digest"), out
+    dropped(keyed, shared, needed, sketches, classes, alike, left, roots)
+    return rows, out
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -282,21 +301,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents of the same words are copies; of the others, those go together that share `similarity` of their shingles (as
     sets, A-Z in lower case), directly or over others. Texts without words (null, empty) are copies of each other. Texts meet
-    in buckets of equal bands of least hashes. There the likeliest pair of each text by fingerprint is looked at first, so that
-    groups come together without all their pairs; then, whatever the fingerprints and however large the bucket, all pairs that
+    in buckets of equal bands of least hashes. There FIRST pairs of each text that are near by fingerprint are looked at first, so
+    that groups come together without all their pairs; then, whatever the fingerprints and however large the bucket, all pairs that
     aren't in one group by then. Null ids come last. Copies, groups and buckets of any size are dealt out over tasks.
     """
     rows, classes = _classes(docs, id_col, text_col, words, similarity)
     groups = written(classes.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min("least").alias("group_id"), F.min(F.struct("none", "least", "first")).alias("f")), "groups")
     placed = written(spread_join(classes.withColumnRenamed("rows", "copies"), groups, ["root"], "rows", classes.count(), by="node").select("digest", F.col("copies").alias("rows"), "group_id", F.col("f.first").alias("stays")), "placed")
-    found = spread_join(rows, placed, ["digest"], "rows", rows.count(), by="key")
+    found = spread_join(rows.select("key", "id", "digest"), placed, ["digest"], "rows", rows.count(), by="key")
     return found.groupBy("key").agg(F.first("id").alias("id"), F.first("group_id").alias("group_id"), F.first(F.col("key") == F.col("stays")).alias("keeps"), F.count(F.lit(1)).alias("times"))
 
 
-#: Up to so many keys are sent to every executor (16 bytes each); more are joined by a shuffle.
-KEYS = 500_000
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, that near_copies keeps: one of each group. Of equal rows one stays."""
     rows, classes = _classes(docs, id_col, text_col, words, similarity)
@@ -304,6 +319,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     gone = written(times.join(kept, "key", "left_anti").select(F.col("key").alias("__gone")), "gone")
     n, repeated = gone.count(), not times.where("times > 1").isEmpty()
+    dropped(rows, classes)
     keyed = docs.withColumn("__key", row_key(id_col, text_col))
     out = keyed.join(F.broadcast(gone) if n <= KEYS else gone, F.col("__key") == F.col("__gone"), "left_anti")
     return (out.dropDuplicates(["__key"]) if repeated else out).drop("__key")

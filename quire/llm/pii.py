@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit
+from .common import low_enough
 
 KINDS = ("email", "ip", "card", "phone")
 #: With what only the method finds: tokens, keys and passwords.
@@ -74,7 +75,7 @@ _GENERATORS: dict[str, re.Pattern[str]] = {
 }
 #: What is given to a name of a secret, whatever it looks like: overlaps the other generator's spans.
 _ASSIGNED = re.compile(r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth|bearer|credential)s?[\x22']?\s{0,3}(?:[=:]|:=|is)\s{0,3}[\x22']?([^\s\x22',;<>]{6,})")
-_KEYED = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential", re.I)
+_KEYED = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential")
 _MARK = re.compile(r"[(\[{]\s?at\s?[)\]}]|\s@|@\s", re.I)
 _HINTS = {
     "email": re.compile(r"mail|write|contact|kontakt|correo|schreib|écri", re.I),
@@ -92,11 +93,12 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     for kind in kinds:
         for m in _GENERATORS[kind].finditer(text):
             yield kind, m.start(), m.end()
-    if any(len(w) >= 16 and not w.isalpha() for w in text.split()):
+    if any(len(w) >= 16 for w in text.split()):
         for m in _GENERATORS["secret"].finditer(text):
             if not m[0].isalpha():
                 yield "secret", m.start(), m.end()
-    if _KEYED.search(text):
+    low = text.lower()
+    if any(name in low for name in _KEYED):
         for m in _ASSIGNED.finditer(text):
             yield "secret", *m.span(1)
 
@@ -139,11 +141,12 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
 
 
 def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", count: int = PIECES) -> list[str]:
-    """Pieces of so many documents, those first by the hash of id and text, each from a place of that hash: bounded, for train()."""
+    """Pieces of up to so many documents, the first by a hash of id and text, each from a place of that hash: bounded, for train()."""
     text = F.col(text_col)
-    keyed = docs.where(F.length(text) > 0).select(F.xxhash64(id_col, text_col).alias("h"), text.alias("t"))
+    h = F.xxhash64(id_col, text_col)
+    keyed = docs.where((F.octet_length(text) > 0) & low_enough(h, count, docs.count())).select(h.alias("h"), text.alias("t"))
     cut = F.substring("t", F.pmod(F.col("h"), F.length("t")).cast("int") + 1, F.lit(PIECE))
-    return [r.p for r in keyed.select("h", cut.alias("p")).orderBy("h", "p").limit(count).collect()]
+    return [r.p for r in keyed.select("h", cut.alias("p")).distinct().orderBy(F.shiftrightunsigned("h", 11), "p").limit(count).collect()]
 
 
 def examples(count: int = 4000, seed: int = 11, carriers: list[str] | None = None) -> list[tuple[str, bool]]:

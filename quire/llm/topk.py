@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import dropped, written
+from .common import dropped, low_enough, written
 
 #: Rows of a block and queries that meet it in one task; pivots, and the rows that they are chosen from; candidates evaluated first.
 ROWS, QUERIES, PIVOTS, SAMPLE, STEP = 8192, 2048, 24, 4096, 64
@@ -200,8 +200,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     good = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)) & ~F.isnan(v)) & F.col(id_col).isNotNull()
     vector = F.col(vector_col).cast("array<double>")
     rows = vectors.where(good).select(F.col(id_col).cast("long").alias("id"), F.coalesce(queries, F.lit(False)).alias("query"), vector.alias("v"))
-    width = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
-    sample = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).select("v").toArrow()["v"]
+    width, n = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count(F.lit(1))).first()
+    h = F.xxhash64("id", "v")
+    sample = rows.where(low_enough(h, SAMPLE, n)).select("v", h.alias("h")).distinct().orderBy(F.shiftrightunsigned("h", 11), "v").limit(SAMPLE).select("v").toArrow()["v"]
     with np.errstate(over="ignore", invalid="ignore"):
         p = pivots(_matrix(sample, scale, width).astype(float), PIVOTS)
     shaped = rows.select(F.monotonically_increasing_id().alias("row"), "id", "query", "v")
