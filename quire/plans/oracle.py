@@ -183,12 +183,12 @@ SELECT doc_id, ordinal, CASE WHEN fixed IS NOT NULL THEN fixed WHEN book <> '' A
     "seg_containing": f"""WITH {_RANGES}
 SELECT b.doc_id, ordinal, CAST(sum(word_count) AS BIGINT) AS words, count(*) AS blocks FROM book b JOIN chapters c ON b.doc_id = c.doc_id AND b.index >= c.first AND b.index < c.last GROUP BY b.doc_id, ordinal""",
     "seg_names": rf"""WITH {_LINES},
-t AS (SELECT doc_id, text[1:80] AS title FROM lines WHERE index = 0),
+t AS (SELECT doc_id, index, text AS title FROM lines),
 s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '[\x00-\x1f]', '', 'g'), '[<>:"/\\|?*]', '_', 'g'), '[\s_]+', '_', 'g'), '^[_.]+|[_.]+$', '', 'g')[1:60] AS stem FROM t),
 u AS (SELECT *, CASE WHEN regexp_replace(stem, '[_.]+$', '') = '' THEN 'untitled' ELSE regexp_replace(stem, '[_.]+$', '') END AS final,
       regexp_replace(title, '[^\p{{L}}\p{{N}}_\s\-]', '', 'g') AS plain FROM s),
 v AS (SELECT *, regexp_replace(lower(trim(plain)), '\s+', '_', 'g')[1:48] AS sl, regexp_replace(regexp_replace(lower(plain), '[\s_\-]+', '_', 'g'), '^_+|_+$', '', 'g')[1:60] AS ws FROM u)
-SELECT doc_id, final AS stem, CASE WHEN length(CAST(doc_id AS VARCHAR)) < 2 THEN '0' ELSE '' END || doc_id || '_' || CASE WHEN title = '' THEN 'chapter_' || doc_id ELSE final END || '.docx' AS file,
+SELECT doc_id, index, final AS stem, CASE WHEN length(CAST(doc_id AS VARCHAR)) < 2 THEN '0' ELSE '' END || doc_id || '_' || CASE WHEN title = '' THEN 'chapter_' || doc_id ELSE final END || '.docx' AS file,
        CASE WHEN sl = '' THEN 'chapter' ELSE sl END AS slug, CASE WHEN ws = '' THEN 'chapter' ELSE ws END AS web_slug,
        trim(regexp_replace(regexp_replace(lower(regexp_replace(title, '[\s.\x{{2026}}]+\d{{1,4}}\s*$', '')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS entry FROM v""",
     "seg_hrefs": _values(Q.HREFS, "base, ref, path"),

@@ -158,10 +158,10 @@ def seg_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seg_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = line_blocks(spark, sf_dir).where("index = 0").select("doc_id", F.substring("text", 1, 80).alias("title"))
+    titles = line_blocks(spark, sf_dir).select("doc_id", "index", c("text").alias("title"))
     stem = c("title")
     none = F.lit("chapter")
-    return titles.select("doc_id", sanitize(stem).alias("stem"), file_name(c("doc_id"), stem, ".docx").alias("file"), slug(stem, none).alias("slug"), web_slug(stem, none).alias("web_slug"), norm_toc(stem).alias("entry"))
+    return titles.select("doc_id", "index", sanitize(stem).alias("stem"), file_name(c("doc_id"), stem, ".docx").alias("file"), slug(stem, none).alias("slug"), web_slug(stem, none).alias("web_slug"), norm_toc(stem).alias("entry"))
 
 
 HREFS = [("OEBPS/text/ch1.xhtml", "../images/a.png", "OEBPS/images/a.png"), ("OEBPS/text/ch1.xhtml", "style.css", "OEBPS/text/style.css"), ("OEBPS/text/ch1.xhtml", "css/x.css#f", "OEBPS/text/css/x.css"), ("OEBPS/text/ch1.xhtml", "css/x.css?v=2", "OEBPS/text/css/x.css"), ("a", "http://x/y", ""), ("a", "https://x/y", ""), ("a", "data:image/png", ""), ("a", "//x/y", ""), ("a", " ", "")]
