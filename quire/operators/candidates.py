@@ -32,13 +32,17 @@ def structural_gate() -> Column:
     return c("is_paragraph") & ~c("is_empty") & (c("word_count") <= 12) & ~c("text").rlike("[.?!।॥]$") & apart
 
 
-def gated(blocks: DataFrame, bands: DataFrame) -> DataFrame:
+def gated(blocks: DataFrame, bands: DataFrame, fallback: bool = True) -> DataFrame:
     """Blocks that pass the precise gate; in documents with fewer than two of those, the ones that pass the structural gate.
 
+    Without fallback a document keeps what passes the precise gate, also where that is one block or none.
+
     Only paragraphs of a few words, or with a style, have their wording looked at.
     """
     worth = c("is_paragraph") & ~c("is_empty")
     rows = blocks.where(worth).join(bands, "doc_id").withColumn("division", F.when(c("word_count") <= 15, match_division(c("text"))))
+    if not fallback:
+        return rows.where(precise_gate()).drop("division")
     rows = rows.withColumns({"__precise": precise_gate(), "__structural": structural_gate()}).where("__precise or __structural")
     many = F.sum(c("__precise").cast("int")).over(Window.partitionBy("doc_id")) >= 2
     return rows.withColumn("__many", many).where(F.when(c("__many"), c("__precise")).otherwise(c("__structural"))).drop("__precise", "__structural", "__many", "division")

@@ -43,9 +43,9 @@ def _toc_candidates(matched: DataFrame) -> DataFrame:
     )
 
 
-def scored_candidates(blocks: DataFrame, matched: DataFrame | None = None, region: DataFrame | None = None) -> DataFrame:
+def scored_candidates(blocks: DataFrame, matched: DataFrame | None = None, region: DataFrame | None = None, fallback: bool = True) -> DataFrame:
     """Candidates with their signals' confidence; those inside the contents and those without any confidence are left out."""
-    merged = merge_runs(written(gated(blocks, features.sizes(blocks)), "gated"))
+    merged = merge_runs(written(gated(blocks, features.sizes(blocks), fallback), "gated"))
     return _scored(merged, matched, region)
 
 
@@ -107,7 +107,7 @@ def decisions(candidates: DataFrame, level: str = "auto") -> tuple[DataFrame, Da
     return explained, docs.drop("__reasons", "__abstains", "toc_authoritative")
 
 
-def segment(blocks: DataFrame, toc_entries: DataFrame | None = None, titles: DataFrame | None = None, level: str = "auto") -> Plan:
+def segment(blocks: DataFrame, toc_entries: DataFrame | None = None, titles: DataFrame | None = None, level: str = "auto", fallback: bool = True) -> Plan:
     """Chapters and plans of all documents of the blocks.
 
     Tables of candidates are written between the steps (they are small beside the blocks, of which the plan makes a few scans;
@@ -115,10 +115,11 @@ def segment(blocks: DataFrame, toc_entries: DataFrame | None = None, titles: Dat
 
     toc_entries: (doc_id, index, title, level) where the source knows them; documents without any have their contents looked
     for in the text. titles: (doc_id, title). level: part, chapter or section keeps boundaries of that level only.
+    fallback: whether documents with fewer than two precise candidates get structural ones (see gated).
     """
     totals = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_blocks"))
     bands = features.sizes(blocks)
-    merged = written(merge_runs(written(gated(blocks, bands), "gated")), "merged")
+    merged = written(merge_runs(written(gated(blocks, bands, fallback), "gated")), "merged")
     region = toc.regions(blocks)
     if toc_entries is not None:
         region = region.join(toc_entries, "doc_id", "left_anti")

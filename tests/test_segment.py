@@ -37,6 +37,18 @@ def test_against_sql(spark, name):
     assert ordered(tuple(map(plain, r)) for r in found.select(*want.columns).collect()) == ordered(tuple(map(plain, r)) for r in rows)
 
 
+@pytest.mark.parametrize("name", ["seg_scores", "seg_triage", "seg_plans", "seg_chapters"])
+def test_books_of_one_page_against_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    page = lambda k, head, more: (k, f"<html><body><nav></nav><article>{head}<p><b>Bold line</b></p><p>{'word ' * 20}</p>{more}</article></body></html>")
+    made = [page(k, f"<h1>Title {k}</h1>", "") for k in range(10)] + [page(10, "<h1>It ends here.</h1>", ""), page(20, "", "<p><b>Two words</b></p>"), page(30, "<h1>No end</h1>", "".join(f"<p><b>Line {'x' * k}</b></p>" + f"<p>{'word ' * 20}</p>" * 4 for k in range(5)))]
+    spark.createDataFrame(made, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(ORACLE[name])
+    found = QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert ordered(tuple(map(plain, r)) for r in found) == ordered(tuple(map(plain, r)) for r in want.fetchall())
+
+
 def blocks(spark, lines, doc=1):
     """lines: (text, features)."""
     rows = [{"doc_id": doc, "index": k, "tag": "p", "is_paragraph": True, "text": t, "is_empty": not t, "word_count": len(t.split()), **f} for k, (t, f) in enumerate(lines)]
