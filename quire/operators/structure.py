@@ -9,16 +9,29 @@ from pyspark.sql.window import Window
 from ..functions import lexicon as L
 from ..functions.divisions import match_division
 from ..functions.text import lookup
+from ..sources.tables import written
 
 c = F.col
 # What counts in favour of a level, and when a choice is doubtful.
 FREQUENCY, PROGRESSION, REGULARITY, CONTENTS = 0.35, 0.30, 0.20, 0.15
 DOUBTFUL, CLOSE = 0.45, 0.08
+MOST_TITLES = 20_000
+
+
+def divided(rows: DataFrame, title: str = "title", most: int = MOST_TITLES) -> DataFrame:
+    """Adds division, the title's. Up to `most` different titles are each looked at once and broadcast; beyond that every row's is
+    looked at by itself. The rows are read twice, so they should be cheap to make."""
+    few = written(rows.select(title).distinct().limit(most + 1), "titles")
+    if few.count() > most:
+        return rows.withColumn("division", match_division(c(title)))
+    known = written(few.select(c(title).alias("__title"), match_division(c(title)).alias("division")), "divisions")
+    return rows.join(F.broadcast(known), c(title).eqNullSafe(c("__title")), "left").drop("__title")
 
 
 def classify(candidates: DataFrame, title: str = "title") -> DataFrame:
-    """Adds div_type, rank, number, system, is_matter: by the title's label or number, else by its style level."""
-    m = match_division(c(title))
+    """Adds div_type, rank, number, system, is_matter: by the title's label or number (division, if it is there), else by its
+    style level."""
+    m = c("division") if "division" in candidates.columns else match_division(c(title))
     rows = candidates.withColumn("__m", m)
     bare = c("__m.role") == "bare"
     styled = F.when(F.coalesce(c("style_level"), F.lit(0)) == 0, "chapter").otherwise("section")

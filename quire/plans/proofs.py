@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.divisions import match_division
 from ..operators import decide, signals, structure, toc
+from ..sources.tables import written
 
 c = F.col
 ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")
@@ -153,7 +154,7 @@ def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.depths(structure.classify(heads(spark, sf_dir)))
+    return structure.depths(structure.classify(structure.divided(written(heads(spark, sf_dir), "heads")))).drop("division")
 
 
 def seg_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +170,8 @@ def seg_real_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seg_split_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = structure.split_levels(structure.levels(_classified(spark, sf_dir)), heads(spark, sf_dir).where("toc_authoritative").select("doc_id").distinct())
+    rows = _classified(spark, sf_dir)
+    found = structure.split_levels(structure.levels(rows), rows.where("toc_authoritative").select("doc_id").distinct())
     return found.select("doc_id", "split_level", "split_rank", "split_score", "confidence", "margin", "hierarchy", "flags")
 
 

@@ -137,6 +137,13 @@ def test_levels_and_split(spark):
     assert (split.split_level, split.hierarchy) == ("chapter", "Part > Chapter")
 
 
+def test_titles_are_looked_at_once(spark):
+    rows = spark.createDataFrame([(1, "Chapter IV"), (2, None), (3, "Chapter IV"), (4, ""), (5, "3. x")], "k int, title string")
+    once, each = structure.divided(rows), structure.divided(rows, most=2)
+    assert sorted(once.collect(), key=lambda r: r.k) == sorted(each.select(*once.columns).collect(), key=lambda r: r.k)
+    assert "regexp" in each._jdf.queryExecution().toString().lower() and "regexp" not in once._jdf.queryExecution().toString().lower()
+
+
 def test_text_blocks_with_nulls(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a\n\nb")], "doc_id long, text string")
     assert [(r.doc_id, r["index"], r.text) for r in blocks_from_text(docs).orderBy("doc_id", "index").collect()] == [(2, 0, ""), (3, 0, "a"), (3, 1, ""), (3, 2, "b")]
