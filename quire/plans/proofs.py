@@ -185,7 +185,7 @@ def seg_kept_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seg_filtered_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = heads(spark, sf_dir)
+    rows = written(heads(spark, sf_dir), "heads")
     return reduce(DataFrame.unionByName, (decide.filter_level(rows, level).select(F.lit(level).alias("wanted"), "doc_id", "index", "level") for level in ("auto", "part", "chapter", "section")))
 
 

@@ -144,6 +144,13 @@ def test_titles_are_looked_at_once(spark):
     assert "regexp" in each._jdf.queryExecution().toString().lower() and "regexp" not in once._jdf.queryExecution().toString().lower()
 
 
+def test_filtered_levels_buffer_no_document(spark):
+    rows = spark.createDataFrame([(1, 0, "part"), (1, 1, "chapter"), (2, 0, "section")], "doc_id long, index int, level string")
+    found = decide.filter_level(rows, "part")
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r["index"]) for r in found.collect()) == [(1, 0), (2, 0)]
+
+
 def test_text_blocks_with_nulls(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a\n\nb")], "doc_id long, text string")
     assert [(r.doc_id, r["index"], r.text) for r in blocks_from_text(docs).orderBy("doc_id", "index").collect()] == [(2, 0, ""), (3, 0, "a"), (3, 1, ""), (3, 2, "b")]
