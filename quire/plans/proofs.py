@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.divisions import match_division
 from ..operators import decide, signals, structure, toc
 from ..sources.tables import written
 
@@ -66,7 +65,7 @@ def seg_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         (c("l_linenumber") == 1).alias("starts_spine"),
         (c("l_linenumber") == 2).alias("is_isolated"),
     )
-    found = signals.score(rows.withColumn("division", match_division(c("text"))))
+    found = signals.score(structure.divided(rows, "text"))
     names = F.array_join(F.array_sort(F.map_keys("fired")), ",")
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "confidence", "level", "band", *(c(f"families.{f}").alias(f) for f in signals.FAMILIES), names.alias("fired"), F.round(F.aggregate(F.map_values("fired"), F.lit(0.0), lambda a, x: a + x), 3).alias("strength"))
 
